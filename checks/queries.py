@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from likerec.operators import colikes, lookup
-from likerec.session import tune
+from likerec.functions import suggestions as shapes
+from likerec.functions.text import normalize_query
+from likerec.operators import colikes, ingest, lookup, popularity, profiles, textvectors, writes
+from likerec.plans import content, hybrid, serving
+from likerec.session import scratch_folder, tune
+from likerec.sources import tables
 from likerec.sources import testtables as fx
+from likerec.streaming.likes import LikeStore
+from likerec.streaming.likes import stream_likes as run_stream
+from likerec.streaming.likes import stream_recent_likes as read_stream_snapshots
+
+# Fixed moments of the checks.
+AS_OF = "2024-02-01 00:00:00"
+SNAPSHOT_AS_OF = "2024-01-30 12:00:00"
 
 
 class Inputs:
@@ -17,6 +28,24 @@ class Inputs:
         self.users, self.songs = fx.users(spark, folder), fx.songs(spark, folder)
         self.likes, self.requests = fx.likes(spark, folder), fx.requests(spark, folder)
 
+    def stored(self):
+        """Songs and likes as they are before any request."""
+        songs = fx.stored_songs(self.songs)
+        return songs, fx.stored_likes(self.likes, songs)
+
+    def items(self):
+        accepted, _ = ingest.validate_requests(self.requests)
+        return ingest.explode_requests(accepted)
+
+    def documents(self):
+        return self.spark.read.parquet(f"{self.folder}/documents.parquet").select("doc_id", "text")
+
+    def request_writes(self):
+        """(request_id, ts, user_id, song_ids) of every accepted request."""
+        accepted, _ = ingest.validate_requests(self.requests)
+        resolved = ingest.resolve_songs(self.items(), self.songs)
+        return serving.request_song_ids(accepted, resolved, self.songs)
+
 
 def scan_users(spark, folder):
     return Inputs(spark, folder).users
@@ -80,3 +109,280 @@ def similar_users_of_requesters(spark, folder):
 def collaborative_suggestions(spark, folder):
     t = Inputs(spark, folder)
     return colikes.collaborative_suggestions(t.likes, t.songs)
+
+
+def table_append_and_read(spark, folder):
+    """Likes written in two appends and read back with the fixed schema."""
+    t = Inputs(spark, folder)
+    path = scratch_folder(spark, "tables")
+    early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (t.likes.where(early), t.likes.where(~early)):
+        tables.append_rows(part, f"{path}/likes")
+    return tables.load_table(spark, path, "likes")
+
+
+def validate_requests(spark, folder):
+    return ingest.check_requests(Inputs(spark, folder).requests).select("request_id", "reason")
+
+
+def validate_reads(spark, folder):
+    return ingest.check_requests(Inputs(spark, folder).requests, min_user_id=1).select("request_id", "reason")
+
+
+def explode_requests(spark, folder):
+    return Inputs(spark, folder).items().drop("genre")
+
+
+def normalize_texts(spark, folder):
+    return Inputs(spark, folder).documents().select("doc_id", normalize_query(F.col("text")).alias("query"))
+
+
+def search_responses_first(spark, folder):
+    return ingest.parse_search_responses(fx.responses(Inputs(spark, folder).songs), "first")
+
+
+def search_responses_all(spark, folder):
+    return ingest.parse_search_responses(fx.responses(Inputs(spark, folder).songs), "all")
+
+
+def resolve_songs(spark, folder):
+    t = Inputs(spark, folder)
+    resolved = ingest.resolve_songs(t.items(), t.songs, keep_unresolved=True)
+    return resolved.select("request_id", "position", "query", "video_id", "title", "artist")
+
+
+def feature_text(spark, folder):
+    return content.song_documents(Inputs(spark, folder).songs)
+
+
+def feature_text_weighted(spark, folder):
+    return content.song_documents(Inputs(spark, folder).songs, "weighted")
+
+
+def song_tokens(spark, folder):
+    return textvectors.tokenize(content.song_documents(Inputs(spark, folder).songs))
+
+
+def document_term_counts(spark, folder):
+    return textvectors.term_counts(textvectors.tokenize(Inputs(spark, folder).documents()))
+
+
+def song_idf(spark, folder):
+    songs = Inputs(spark, folder).songs
+    result = textvectors.idf(content.song_term_counts(songs), songs.count())
+    return result.withColumn("idf", F.round("idf", 6))
+
+
+def document_tfidf(spark, folder):
+    docs = Inputs(spark, folder).documents()
+    tf = textvectors.term_counts(textvectors.tokenize(docs))
+    result = textvectors.tfidf(tf, textvectors.idf(tf, docs.count()))
+    return result.withColumn("weight", F.round("weight", 6))
+
+
+def _song_vectors(songs):
+    tf = content.song_term_counts(songs)
+    return textvectors.tfidf(tf, textvectors.idf(tf, songs.count()))
+
+
+def user_profiles(spark, folder):
+    t = Inputs(spark, folder)
+    result = profiles.user_profiles(t.likes.select("user_id", "song_id"), _song_vectors(t.songs))
+    return result.withColumn("weight", F.round("weight", 6))
+
+
+def cosine_scores(spark, folder):
+    """Summed up per user; the scores themselves are users x songs."""
+    t = Inputs(spark, folder)
+    vectors = _song_vectors(t.songs)
+    mine = profiles.user_profiles(t.likes.select("user_id", "song_id"), vectors)
+    pool = lookup.candidate_songs(t.songs).select(F.col("id").alias("doc_id"))
+    scores = profiles.cosine_scores(mine, vectors.join(pool, "doc_id", "left_semi"))
+    return scores.groupBy("user_id").agg(
+        F.count("*").alias("n_scored"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+def _rounded(suggestions):
+    return suggestions.withColumn("score", F.round("score", 6))
+
+
+def content_suggestions(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.likes, t.songs))
+
+
+def content_suggestions_weighted(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.likes, t.songs, mode="weighted"))
+
+
+def content_suggestions_shared_corpus(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.likes, t.songs, corpus="shared"))
+
+
+def popular_by_genre(spark, folder):
+    t = Inputs(spark, folder)
+    return popularity.popular_by_genre(t.likes, t.songs)
+
+
+def popular_for_requests(spark, folder):
+    t = Inputs(spark, folder)
+    return popularity.popular_for_requests(hybrid.latest_genres(t.requests), t.likes, t.songs)
+
+
+def collaborative_or_popular(spark, folder):
+    t = Inputs(spark, folder)
+    return hybrid.collaborative_or_popular(t.users, t.likes, t.songs)
+
+
+def suggest(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(hybrid.suggest(t.users, t.likes, t.songs))
+
+
+def suggest_combined(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(hybrid.suggest(t.users, t.likes, t.songs, k=15, combine=True,
+                                   order=("collaborative", "popular", "content")))
+
+
+def to_suggestions(spark, folder):
+    songs = Inputs(spark, folder).songs
+    video_id = F.when(F.col("genre").isNull(), "").when(F.col("tags").isNotNull(), F.col("video_id"))
+    return shapes.to_suggestions(songs.select(
+        "id", "title", "artist", video_id.alias("video_id"), F.concat(F.lit("y"), F.col("id")).alias("youtube_video_id")))
+
+
+def liked_rows(spark, folder):
+    t = Inputs(spark, folder)
+    return shapes.to_liked_rows(lookup.liked_songs(t.users, t.likes, t.songs, ordered=False))
+
+
+def iso_timestamps(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    return events.select("event_id", shapes.iso_timestamp(F.col("ts")).alias("iso"))
+
+
+def upsert_users(spark, folder):
+    t = Inputs(spark, folder)
+    accepted, _ = ingest.validate_requests(t.requests)
+    return writes.upsert_users(t.users, accepted, AS_OF)
+
+
+def upsert_songs(spark, folder):
+    t = Inputs(spark, folder)
+    return writes.upsert_songs(t.stored()[0], ingest.resolve_songs(t.items(), t.songs), AS_OF)
+
+
+def append_likes(spark, folder):
+    t = Inputs(spark, folder)
+    return writes.append_likes(t.stored()[1], fx.line_likes(spark, folder), AS_OF)
+
+
+def append_likes_twice(spark, folder):
+    t = Inputs(spark, folder)
+    lines = fx.line_likes(spark, folder)
+    return writes.append_likes(writes.append_likes(t.stored()[1], lines), lines, AS_OF)
+
+
+def audit_constraints(spark, folder):
+    tune(spark)
+    return writes.audit_constraints(
+        fx.untidy_users(spark, folder), fx.untidy_songs(spark, folder), fx.untidy_likes(spark, folder))
+
+
+def purge_users(spark, folder):
+    t = Inputs(spark, folder)
+    return writes.purge(t.users, t.likes, lookup.find_users(t.users, t.requests), "user_id")[0]
+
+
+def purge_users_likes(spark, folder):
+    t = Inputs(spark, folder)
+    return writes.purge(t.users, t.likes, lookup.find_users(t.users, t.requests), "user_id")[1]
+
+
+def purge_songs_likes(spark, folder):
+    t = Inputs(spark, folder)
+    return writes.purge(t.songs, t.likes, t.stored()[0], "song_id")[1]
+
+
+def migrate_users_down(spark, folder):
+    return writes.migrate_users(Inputs(spark, folder).users, "down")
+
+
+def migrate_users_up(spark, folder):
+    return writes.migrate_users(migrate_users_down(spark, folder), "up", AS_OF)
+
+
+def too_long_for_first_version(spark, folder):
+    return writes.too_long_for_first_version(fx.untidy_users(spark, folder)).select("id", "user_id")
+
+
+def recent_likes_snapshot(spark, folder):
+    return serving.recent_likes_snapshot(Inputs(spark, folder).request_writes(), SNAPSHOT_AS_OF, ttl=12 * 3600)
+
+
+def liked_songs_as_served(spark, folder):
+    t = Inputs(spark, folder)
+    snapshot = serving.recent_likes_snapshot(t.request_writes(), SNAPSHOT_AS_OF, ttl=12 * 3600)
+    return serving.liked_songs_as_served(t.users, snapshot, t.users, t.likes, t.songs)
+
+
+def reusable_searches(spark, folder):
+    t = Inputs(spark, folder)
+    resolved = ingest.resolve_songs(t.items(), t.songs, keep_unresolved=True)
+    lookups = resolved.where((F.col("position") == 1) & F.col("query").isNotNull()).select(
+        "query", "ts", F.col("video_id").isNotNull().alias("hit"))
+    return serving.reusable_searches(t.items(), lookups)
+
+
+def _processed(spark, folder):
+    t = Inputs(spark, folder)
+    songs, likes = t.stored()
+    return hybrid.process_requests(t.requests, t.users, songs, likes, t.songs, AS_OF)
+
+
+def _stored(spark, folder):
+    t = Inputs(spark, folder)
+    songs, likes = t.stored()
+    return hybrid.store_requests(t.requests, t.users, songs, likes, t.songs, AS_OF, AS_OF)
+
+
+def process_requests_new_users(spark, folder):
+    return _stored(spark, folder).new_users
+
+
+def process_requests_new_songs(spark, folder):
+    return _stored(spark, folder).new_songs
+
+
+def process_requests_new_likes(spark, folder):
+    return _stored(spark, folder).new_likes
+
+
+def process_requests_suggestions(spark, folder):
+    return _rounded(_processed(spark, folder)[1])
+
+
+def _streamed(spark, folder):
+    t = Inputs(spark, folder)
+    songs, likes = t.stored()
+    path = scratch_folder(spark, "stream")
+    store = LikeStore(spark, f"{path}/tables")
+    store.start(t.users, songs, likes)
+    incoming = fx.requests(spark, folder, fx.stream_events(spark, folder))
+    stream = run_stream(incoming, store, t.songs, f"{path}/progress", available_now=True)
+    stream.awaitTermination(600)
+    if stream.isActive or stream.exception():
+        stream.stop()
+        raise RuntimeError(f"stream did not end: {stream.exception()}")
+    return store
+
+
+def stream_likes(spark, folder):
+    return _streamed(spark, folder).read("likes").drop("user_bucket")
+
+
+def stream_recent_likes(spark, folder):
+    return read_stream_snapshots(_streamed(spark, folder), SNAPSHOT_AS_OF, ttl=12 * 3600)

@@ -45,17 +45,11 @@ def songs(spark: SparkSession, folder: str) -> DataFrame:
 
 def likes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer and ordered part, at the first order."""
-    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
-    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("song_id"))
-        .agg(F.min("o_orderdate").alias("created_at"))
-    )
+    return line_likes(spark, folder).groupBy("user_id", "song_id").agg(F.min("created_at").alias("created_at"))
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """One request per event.
+def requests(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """One request per event, from the stored events or from a given (streaming) frame.
 
     Views hold a noisy and a clean spelling, clicks a bare title, sign-ups come from unknown
     users, errors have nothing to search for and may have an overlong user id, purchases repeat
@@ -79,8 +73,8 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "purchase", F.expr("repeat(p_type, k)"))
         .otherwise(F.col("p_type"))
     )
-    events = _table(spark, folder, "events").withColumn(
-        "k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
+    events = _table(spark, folder, "events") if events is None else events
+    events = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
     parts = _table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     return events.join(parts, F.col("p_partkey") == k).select(
         F.col("event_id").alias("request_id"),
@@ -89,3 +83,65 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         names.alias("songs"),
         genre.alias("genre"),
     )
+
+
+def stream_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a file stream; all tables share one folder, hence the name filter."""
+    schema = _table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def stored_songs(songs: DataFrame) -> DataFrame:
+    """Songs that are stored before any request; all songs can be searched for."""
+    return songs.where(F.col("updated_at") >= _ntz("2024-01-01 01:00:00"))
+
+
+def stored_likes(likes: DataFrame, stored: DataFrame) -> DataFrame:
+    return likes.join(stored.select(F.col("id").alias("song_id")), "song_id", "left_semi").select(
+        "user_id", "song_id", "created_at")
+
+
+def line_likes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ordered line as a (user_id, song_id, created_at) row, with repeats."""
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("song_id"), F.col("o_orderdate").alias("created_at"))
+
+
+def responses(songs: DataFrame) -> DataFrame:
+    """A stored search response per song: empty where the song has no tags, led by an item
+    without a video id where it has no genre."""
+    def item(video_id: Column, title: Column) -> Column:
+        return F.struct(F.struct(video_id.alias("videoId")).alias("id"),
+                        F.struct(title.alias("title"), F.col("artist").alias("channelTitle")).alias("snippet"))
+
+    found = item(F.col("video_id"), F.col("title"))
+    channel = item(F.lit(None).cast("string"), F.col("artist"))
+    items = F.when(F.col("genre").isNull(), F.array(channel, found)).otherwise(F.array(found, channel))
+    items = F.when(F.col("tags").isNull(), F.slice(items, 1, 0)).otherwise(items)
+    return songs.select(F.col("id").alias("response_id"), F.to_json(F.struct(items.alias("items"))).alias("body"))
+
+
+def untidy_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests read as user rows: repeated, empty and overlong ids, overlong names."""
+    return requests(spark, folder).select(
+        F.col("request_id").alias("id"), "user_id", F.col("genre").alias("name"),
+        F.lit(None).cast("string").alias("email"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+
+
+def untidy_songs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read as song rows: repeated video ids and overlong titles."""
+    return _table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("video_id"), F.col("text").alias("title"),
+        F.col("lang").alias("artist"), F.lit(None).cast("string").alias("genre"), F.col("text").alias("tags"),
+        _ntz("2024-01-01 00:00:00").alias("updated_at"))
+
+
+def untidy_likes(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines read as likes of orders: repeated pairs, and keys without a row."""
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
+        F.col("o_orderkey").alias("user_id"), F.col("o_custkey").alias("song_id"),
+        F.when(F.col("l_partkey").isNotNull(), F.col("o_orderdate")).alias("created_at"))
