@@ -8,7 +8,7 @@ from likerec.functions import suggestions as shapes
 from likerec.functions.text import normalize_query
 from likerec.operators import colikes, ingest, lookup, popularity, profiles, textvectors, writes
 from likerec.plans import content, hybrid, serving
-from likerec.session import scratch_folder, tune
+from likerec.session import materialize, scratch_folder, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
 from likerec.streaming.likes import LikeStore
@@ -25,8 +25,14 @@ class Inputs:
 
     def __init__(self, spark, folder):
         self.spark, self.folder = tune(spark), folder
-        self.users, self.songs = fx.users(spark, folder), fx.songs(spark, folder)
-        self.likes, self.requests = fx.likes(spark, folder), fx.requests(spark, folder)
+
+    users = property(lambda self: fx.users(self.spark, self.folder))
+    songs = property(lambda self: fx.songs(self.spark, self.folder))
+    likes = property(lambda self: fx.likes(self.spark, self.folder))
+    # For queries that scan the likes more than once: derived once and stored, as a table would be.
+    like_table = property(lambda self: materialize(self.likes))
+    requests = property(lambda self: fx.requests(self.spark, self.folder))
+    documents = property(lambda self: fx.documents(self.spark, self.folder))
 
     def stored(self):
         """Songs and likes as they are before any request."""
@@ -37,9 +43,6 @@ class Inputs:
         accepted, _ = ingest.validate_requests(self.requests)
         return ingest.explode_requests(accepted)
 
-    def documents(self):
-        return self.spark.read.parquet(f"{self.folder}/documents.parquet").select("doc_id", "text")
-
     def request_writes(self):
         """(request_id, ts, user_id, song_ids) of every accepted request."""
         accepted, _ = ingest.validate_requests(self.requests)
@@ -97,18 +100,18 @@ def liked_song_ids(spark, folder):
 
 
 def similar_users(spark, folder):
-    return colikes.similar_users(Inputs(spark, folder).likes)
+    return colikes.similar_users(Inputs(spark, folder).like_table)
 
 
 def similar_users_of_requesters(spark, folder):
     t = Inputs(spark, folder)
     wanted = lookup.find_users(t.users, t.requests).select(F.col("id").alias("user_id"))
-    return colikes.similar_users(t.likes, min_common=3, wanted=wanted)
+    return colikes.similar_users(t.like_table, min_common=3, wanted=wanted)
 
 
 def collaborative_suggestions(spark, folder):
     t = Inputs(spark, folder)
-    return colikes.collaborative_suggestions(t.likes, t.songs)
+    return colikes.collaborative_suggestions(t.like_table, t.songs)
 
 
 def table_append_and_read(spark, folder):
@@ -134,7 +137,7 @@ def explode_requests(spark, folder):
 
 
 def normalize_texts(spark, folder):
-    return Inputs(spark, folder).documents().select("doc_id", normalize_query(F.col("text")).alias("query"))
+    return Inputs(spark, folder).documents.select("doc_id", normalize_query(F.col("text")).alias("query"))
 
 
 def search_responses_first(spark, folder):
@@ -164,7 +167,7 @@ def song_tokens(spark, folder):
 
 
 def document_term_counts(spark, folder):
-    return textvectors.term_counts(textvectors.tokenize(Inputs(spark, folder).documents()))
+    return textvectors.document_terms(Inputs(spark, folder).documents)
 
 
 def song_idf(spark, folder):
@@ -174,20 +177,20 @@ def song_idf(spark, folder):
 
 
 def document_tfidf(spark, folder):
-    docs = Inputs(spark, folder).documents()
-    tf = textvectors.term_counts(textvectors.tokenize(docs))
-    result = textvectors.tfidf(tf, textvectors.idf(tf, docs.count()))
+    docs = Inputs(spark, folder).documents
+    tf = textvectors.document_terms(docs)
+    result = textvectors.tfidf(tf, materialize(textvectors.idf(tf, docs.count())))
     return result.withColumn("weight", F.round("weight", 6))
 
 
 def _song_vectors(songs):
     tf = content.song_term_counts(songs)
-    return textvectors.tfidf(tf, textvectors.idf(tf, songs.count()))
+    return materialize(textvectors.tfidf(tf, materialize(textvectors.idf(tf, songs.count()))))
 
 
 def user_profiles(spark, folder):
     t = Inputs(spark, folder)
-    result = profiles.user_profiles(t.likes.select("user_id", "song_id"), _song_vectors(t.songs))
+    result = profiles.user_profiles(t.like_table.select("user_id", "song_id"), _song_vectors(t.songs))
     return result.withColumn("weight", F.round("weight", 6))
 
 
@@ -208,17 +211,17 @@ def _rounded(suggestions):
 
 def content_suggestions(spark, folder):
     t = Inputs(spark, folder)
-    return _rounded(content.content_suggestions(t.likes, t.songs))
+    return _rounded(content.content_suggestions(t.like_table, t.songs))
 
 
 def content_suggestions_weighted(spark, folder):
     t = Inputs(spark, folder)
-    return _rounded(content.content_suggestions(t.likes, t.songs, mode="weighted"))
+    return _rounded(content.content_suggestions(t.like_table, t.songs, mode="weighted"))
 
 
 def content_suggestions_shared_corpus(spark, folder):
     t = Inputs(spark, folder)
-    return _rounded(content.content_suggestions(t.likes, t.songs, corpus="shared"))
+    return _rounded(content.content_suggestions(t.like_table, t.songs, corpus="shared"))
 
 
 def popular_by_genre(spark, folder):
@@ -233,17 +236,17 @@ def popular_for_requests(spark, folder):
 
 def collaborative_or_popular(spark, folder):
     t = Inputs(spark, folder)
-    return hybrid.collaborative_or_popular(t.users, t.likes, t.songs)
+    return hybrid.collaborative_or_popular(t.users, t.like_table, t.songs)
 
 
 def suggest(spark, folder):
     t = Inputs(spark, folder)
-    return _rounded(hybrid.suggest(t.users, t.likes, t.songs))
+    return _rounded(hybrid.suggest(t.users, t.like_table, t.songs))
 
 
 def suggest_combined(spark, folder):
     t = Inputs(spark, folder)
-    return _rounded(hybrid.suggest(t.users, t.likes, t.songs, k=15, combine=True,
+    return _rounded(hybrid.suggest(t.users, t.like_table, t.songs, k=15, combine=True,
                                    order=("collaborative", "popular", "content")))
 
 
@@ -260,8 +263,8 @@ def liked_rows(spark, folder):
 
 
 def iso_timestamps(spark, folder):
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.select("event_id", shapes.iso_timestamp(F.col("ts")).alias("iso"))
+    times = fx.event_times(tune(spark), folder)
+    return times.select("event_id", shapes.iso_timestamp(F.col("ts")).alias("iso"))
 
 
 def upsert_users(spark, folder):
@@ -340,7 +343,7 @@ def reusable_searches(spark, folder):
 def _processed(spark, folder):
     t = Inputs(spark, folder)
     songs, likes = t.stored()
-    return hybrid.process_requests(t.requests, t.users, songs, likes, t.songs, AS_OF)
+    return hybrid.process_requests(t.requests, t.users, songs, materialize(likes), t.songs, AS_OF)
 
 
 def _stored(spark, folder):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 BLANK = (r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# The same blanks as characters.
+BLANK_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680,
+                                     *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
 MAX_QUERY_LENGTH = 200
 ARTIST_REPEATS = 2
 GENRE_REPEATS = 3
@@ -23,7 +26,7 @@ def normalize_query(name: Column, min_length: int = 0) -> Column:
     cuts to 200 characters. The cut comes last, so a trailing blank may reappear.
     """
     kept = F.regexp_replace(name, f"[^{WORD}{BLANK}\\-']", "")
-    trimmed = F.regexp_replace(F.regexp_replace(F.lower(kept), f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
+    trimmed = F.trim(F.lower(kept), F.lit(BLANK_CHARACTERS))
     query = F.substring(trimmed, 1, MAX_QUERY_LENGTH)
     return F.when(F.length(query) >= max(min_length, 1), query)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from likerec.functions.text import normalize_query
 from likerec.schema import SEARCH_RESPONSE
+from likerec.session import broadcast_if_small, materialize
 
 MAX_USER_ID = 255
 MAX_SONGS = 50
@@ -92,21 +93,20 @@ def search_index(catalog: DataFrame) -> DataFrame:
 
 
 def resolve_songs(names: DataFrame, catalog: DataFrame, keep_unresolved: bool = False) -> DataFrame:
-    """``names`` (with a ``query`` column) plus video_id, title, artist of the best song.
+    """``names`` (with a ``song_name`` column) plus query, video_id, title, artist of the best song.
 
-    Names are resolved once per distinct query, so a name that fills a third of the input costs
-    one lookup; names without a query never reach a join, where they would share one key.
+    Names are normalized and looked up once per distinct spelling, so a name that fills a third
+    of the input costs one lookup. The answers are sent to the names when they are few.
     """
     details = catalog.select(F.col("id").alias("catalog_id"), "video_id", "title", "artist")
-    searched = names.where(F.col("query").isNotNull())
+    spellings = names.select("song_name").distinct().withColumn("query", normalize_query(F.col("song_name")))
     hits = (
-        searched.select("query").distinct()
+        spellings.where(F.col("query").isNotNull())
         .join(search_index(catalog), "query")
         .join(details, "catalog_id")
         .drop("catalog_id")
     )
-    if not keep_unresolved:
-        return searched.join(hits, "query")
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("video_id", "title", "artist")]
-    return searched.join(hits, "query", "left").unionByName(
-        names.where(F.col("query").isNull()).select("*", *nothing))
+    if keep_unresolved:
+        hits = spellings.join(hits.drop("query"), "song_name", "left")
+    answers = broadcast_if_small(materialize(hits))
+    return names.drop("query").join(answers, "song_name", "left" if keep_unresolved else "inner")

@@ -21,11 +21,12 @@ def user_profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean vector (user_id, term, weight) of each user's songs.
 
     ``history`` is (user_id, song_id), ``vectors`` (doc_id, term, weight). A song without
-    terms is a zero vector and still counts in the divisor.
+    terms is a zero vector and still counts in the divisor. ``vectors`` is measured for a
+    broadcast and should be materialized.
     """
     sizes = history.groupBy("user_id").agg(F.count("*").alias("h"))
     sums = (
-        history.join(vectors.withColumnRenamed("doc_id", "song_id"), "song_id")
+        history.join(broadcast_if_small(vectors.withColumnRenamed("doc_id", "song_id")), "song_id")
         .groupBy("user_id", "term")
         .agg(F.sum("weight").alias("total"))
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from likerec.functions.text import default_stop_words, tokens
 from likerec.session import broadcast_if_small
@@ -20,11 +21,19 @@ def tokenize(docs: DataFrame, text: Column | str = "text", stop_words: Sequence[
 
 
 def term_counts(token_rows: DataFrame) -> DataFrame:
-    """Raw counts (doc_id, term, tf). The tokens of a document lie in one task, so almost all
-    of the counting happens before the shuffle."""
+    """Raw counts (doc_id, term, tf)."""
     return token_rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def document_terms(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``term_counts`` of documents (doc_id, text), partitioned by document.
+
+    The texts are shuffled instead of their tokens, which take several times the space; counts
+    and norms per document then need no further shuffle.
+    """
+    return term_counts(tokenize(docs.select("doc_id", "text").repartition("doc_id"), "text", stop_words))
+
+
 def smoothed_idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
@@ -39,11 +48,12 @@ def tfidf(tf: DataFrame, term_idf: DataFrame) -> DataFrame:
     """(doc_id, term, weight): tf x idf divided by the document's norm.
 
     Terms without an idf are dropped, so a document may end up without rows (a zero vector).
-    A term that occurs in most documents makes the join key uneven; where the vocabulary is
-    small it is broadcast, otherwise the adaptive skew join splits the term.
+    The norm is summed over the terms of one document, which its text bounds. ``term_idf`` is
+    measured for a broadcast and should be materialized; a vocabulary too large for it joins by
+    shuffle, where the adaptive skew join splits very common terms.
     """
+    raw = F.col("tf") * F.col("idf")
     weighted = tf.join(broadcast_if_small(term_idf.select("term", "idf")), "term").select(
-        "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, "doc_id").select(
-        "doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+        "doc_id", "term", raw.alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return weighted.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))

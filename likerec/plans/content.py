@@ -31,7 +31,7 @@ from likerec.operators.lookup import candidate_songs
 from likerec.operators.profiles import (
     cosine_scores, rank_unliked, score_steps, user_profiles, zero_score_fill,
 )
-from likerec.operators.textvectors import idf, term_counts, tfidf, tokenize
+from likerec.operators.textvectors import document_terms, idf, tfidf
 from likerec.session import broadcast_if_small, materialize, shuffle_width
 
 # Users with more likes than this are weighted by shuffles on (user, term) instead of in one task.
@@ -45,7 +45,7 @@ def song_documents(songs: DataFrame, mode: str = "as_coded") -> DataFrame:
 
 
 def song_term_counts(songs: DataFrame, mode: str = "as_coded", stop_words: Sequence[str] | None = None) -> DataFrame:
-    return term_counts(tokenize(song_documents(songs, mode), "text", stop_words))
+    return document_terms(song_documents(songs, mode), stop_words)
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,7 @@ def _shared_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode:
     candidate_tf = song_term_counts(chosen, mode, stop_words)
     term_idf = materialize(idf(candidate_tf, chosen.count()))
     candidate_vectors = materialize(tfidf(candidate_tf, term_idf))
-    vectors = tfidf(song_term_counts(songs, mode, stop_words), term_idf)
+    vectors = materialize(tfidf(song_term_counts(songs, mode, stop_words), term_idf))
     scores = cosine_scores(user_profiles(history, vectors), candidate_vectors)
     if candidate_vectors.isEmpty():
         history = history.limit(0)

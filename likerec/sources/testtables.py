@@ -10,8 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Columns read from each table; giving them saves a job per table that would infer them.
+TABLES = {
+    "customer": "c_custkey long, c_name string",
+    "supplier": "s_suppkey long, s_name string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, props string",
+    "documents": "doc_id long, text string, lang string, source string",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _ntz(text: str) -> Column:
@@ -87,8 +99,7 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
 
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events as a file stream; all tables share one folder, hence the name filter."""
-    schema = _table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
 def stored_songs(songs: DataFrame) -> DataFrame:
@@ -123,6 +134,14 @@ def responses(songs: DataFrame) -> DataFrame:
     return songs.select(F.col("id").alias("response_id"), F.to_json(F.struct(items.alias("items"))).alias("body"))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "documents").select("doc_id", "text")
+
+
+def event_times(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "events").select("event_id", "ts")
+
+
 def untidy_users(spark: SparkSession, folder: str) -> DataFrame:
     """Requests read as user rows: repeated, empty and overlong ids, overlong names."""
     return requests(spark, folder).select(
