@@ -236,6 +236,25 @@ PICKED = """picked AS (
     ELSE p.is_global END)"""
 
 
+# Result types that DuckDB would choose otherwise.
+TYPES = {"rank": "INTEGER", "position": "INTEGER", "score": "DOUBLE"}
+TYPED = {
+    "collaborative_suggestions": ("rank",), "collaborative_suggestions_spread": ("rank",),
+    "content_suggestions": ("rank",), "content_suggestions_spread": ("rank",),
+    "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
+    "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
+    "collaborative_or_popular": ("rank", "score"), "suggest": ("rank", "score"), "suggest_combined": ("rank", "score"),
+    "process_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
+    "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",),
+    "reusable_searches": ("position",),
+}
+
+
+def with_types(text: str, columns: tuple[str, ...]) -> str:
+    casts = ", ".join(f"CAST({c} AS {TYPES[c]}) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({text})" if columns else text
+
+
 def build() -> dict[str, str]:
     sql = {}
     sql["scan_users"] = with_ctes(USERS, final="SELECT * FROM fx_users")
@@ -440,4 +459,6 @@ def build() -> dict[str, str]:
           (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) = 1)""", final="""
         SELECT user_id, coalesce(song_ids, CAST([] AS BIGINT[])) AS song_ids, ts FROM last_per_user
         WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' AND ts + INTERVAL 12 HOUR > TIMESTAMP '2024-01-30 12:00:00'""")
-    return sql
+    sql["collaborative_suggestions_spread"] = sql["collaborative_suggestions"]
+    sql["content_suggestions_spread"] = sql["content_suggestions"]
+    return {name: with_types(text, TYPED.get(name, ())) for name, text in sql.items()}

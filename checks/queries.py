@@ -8,7 +8,7 @@ from likerec.functions import suggestions as shapes
 from likerec.functions.text import normalize_query
 from likerec.operators import colikes, ingest, lookup, popularity, profiles, textvectors, writes
 from likerec.plans import content, hybrid, serving
-from likerec.session import materialize, scratch_folder, tune
+from likerec.session import materialize, scratch_folder, shuffle_width, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
 from likerec.streaming.likes import LikeStore
@@ -32,6 +32,8 @@ class Inputs:
     # For queries that scan the likes more than once: derived once and stored, as a table would be.
     like_table = property(lambda self: materialize(self.likes))
     requests = property(lambda self: fx.requests(self.spark, self.folder))
+    request_table = property(
+        lambda self: materialize(self.requests.repartition(shuffle_width(self.spark), "request_id")))
     documents = property(lambda self: fx.documents(self.spark, self.folder))
 
     def stored(self):
@@ -39,14 +41,15 @@ class Inputs:
         songs = fx.stored_songs(self.songs)
         return songs, fx.stored_likes(self.likes, songs)
 
-    def items(self):
-        accepted, _ = ingest.validate_requests(self.requests)
+    def items(self, requests=None):
+        accepted, _ = ingest.validate_requests(self.requests if requests is None else requests)
         return ingest.explode_requests(accepted)
 
     def request_writes(self):
         """(request_id, ts, user_id, song_ids) of every accepted request."""
-        accepted, _ = ingest.validate_requests(self.requests)
-        resolved = ingest.resolve_songs(self.items(), self.songs)
+        requests = self.request_table
+        accepted, _ = ingest.validate_requests(requests)
+        resolved = ingest.resolve_songs(self.items(requests), self.songs)
         return serving.request_song_ids(accepted, resolved, self.songs)
 
 
@@ -114,6 +117,12 @@ def collaborative_suggestions(spark, folder):
     return colikes.collaborative_suggestions(t.like_table, t.songs)
 
 
+def collaborative_suggestions_spread(spark, folder):
+    """The way taken for users with very many similar users, for most users here."""
+    t = Inputs(spark, folder)
+    return colikes.collaborative_suggestions(t.like_table, t.songs, busy_rows=2000)
+
+
 def table_append_and_read(spark, folder):
     """Likes written in two appends and read back with the fixed schema."""
     t = Inputs(spark, folder)
@@ -214,6 +223,12 @@ def content_suggestions(spark, folder):
     return _rounded(content.content_suggestions(t.like_table, t.songs))
 
 
+def content_suggestions_spread(spark, folder):
+    """The way taken for users with very long histories, for about half of the users here."""
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.like_table, t.songs, heavy_history=38))
+
+
 def content_suggestions_weighted(spark, folder):
     t = Inputs(spark, folder)
     return _rounded(content.content_suggestions(t.like_table, t.songs, mode="weighted"))
@@ -334,22 +349,23 @@ def liked_songs_as_served(spark, folder):
 
 def reusable_searches(spark, folder):
     t = Inputs(spark, folder)
-    resolved = ingest.resolve_songs(t.items(), t.songs, keep_unresolved=True)
+    items = t.items(t.request_table)
+    resolved = ingest.resolve_songs(items, t.songs, keep_unresolved=True)
     lookups = resolved.where((F.col("position") == 1) & F.col("query").isNotNull()).select(
         "query", "ts", F.col("video_id").isNotNull().alias("hit"))
-    return serving.reusable_searches(t.items(), lookups)
+    return serving.reusable_searches(items, lookups)
 
 
 def _processed(spark, folder):
     t = Inputs(spark, folder)
     songs, likes = t.stored()
-    return hybrid.process_requests(t.requests, t.users, songs, materialize(likes), t.songs, AS_OF)
+    return hybrid.process_requests(t.request_table, t.users, songs, materialize(likes), t.songs, AS_OF)
 
 
 def _stored(spark, folder):
     t = Inputs(spark, folder)
     songs, likes = t.stored()
-    return hybrid.store_requests(t.requests, t.users, songs, likes, t.songs, AS_OF, AS_OF)
+    return hybrid.store_requests(t.request_table, t.users, songs, likes, t.songs, AS_OF, AS_OF)
 
 
 def process_requests_new_users(spark, folder):

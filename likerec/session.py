@@ -20,6 +20,8 @@ RUNTIME_SETTINGS = {
 # Largest table that may be shipped to every executor.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+MAX_PARTITIONS = 50_000
+
 
 def build_session(app_name: str = "likerec", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings above; ``settings`` use ``_`` for ``.`` in their names."""
@@ -28,6 +30,8 @@ def build_session(app_name: str = "likerec", master: str | None = None, **settin
         builder = builder.master(master)
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
+    # Checkpointed intermediates go when nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
@@ -94,8 +98,11 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFra
 
 
 def shuffle_width(spark: SparkSession, rows: int = 0, rows_per_task: int = 2_000_000) -> int:
-    """Number of partitions for an explicit repartition that will produce ``rows`` rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+    """Number of partitions for an explicit repartition that will produce ``rows`` rows: a
+    multiple of the session's shuffle partitions, so that no wave of tasks is half empty, and
+    no more than a driver can keep track of."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return base * max(1, min(-(-rows // (rows_per_task * base)), MAX_PARTITIONS // base))
 
 
 def with_new_ids(new_rows: DataFrame, existing: DataFrame, key: str, id_column: str = "id") -> DataFrame:
