@@ -32,7 +32,7 @@ from likerec.operators.profiles import (
     cosine_scores, rank_unliked, score_steps, user_profiles, zero_score_fill,
 )
 from likerec.operators.textvectors import document_terms, idf, tfidf
-from likerec.session import broadcast_if_small, materialize, shuffle_width
+from likerec.session import broadcast_if_small, broadcast_rows, materialize, shuffle_width
 
 # Users with more likes than this are weighted by shuffles on (user, term) instead of in one task.
 HEAVY_HISTORY = 100_000
@@ -54,24 +54,32 @@ class Candidates:
 
     size: int
     ids: DataFrame  # song_id
-    postings: DataFrame  # term, song_id, tf, df
+    postings: DataFrame  # term, song_id, tf, df; with the marks
     norms: DataFrame  # song_id, s0, s1, s2
     has_terms: bool
 
 
 def prepare_candidates(songs: DataFrame, pool: int, mode: str, stop_words: Sequence[str] | None) -> Candidates:
     chosen = materialize(candidate_songs(songs, pool))
+    size = chosen.count()
+    ids = chosen.select(F.col("id").alias("song_id"))
     tf = song_term_counts(chosen, mode, stop_words)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    postings = materialize(tf.join(df, "term").select("term", F.col("doc_id").alias("song_id"), "tf", "df"))
+    counted = tf.join(df, "term").select("term", F.col("doc_id").alias("song_id"), "tf", "df")
+    postings = materialize(counted.unionByName(_marks(ids)))
     squared, log_df = F.col("tf") * F.col("tf"), F.log1p("df")
     norms = postings.groupBy("song_id").agg(
         F.sum(squared).cast("double").alias("s0"),
         F.sum(squared * log_df).alias("s1"),
         F.sum(squared * log_df * log_df).alias("s2"),
     )
-    return Candidates(chosen.count(), chosen.select(F.col("id").alias("song_id")), postings,
-                      materialize(norms), not postings.isEmpty())
+    return Candidates(size, ids, postings, norms, not postings.where(F.col("tf") > 0).isEmpty())
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """Each candidate's own mark as a term with tf 0, which adds nothing to any weight."""
+    zero = F.lit(0).cast("long")
+    return ids.select(_own_term("song_id").alias("term"), "song_id", zero.alias("tf"), zero.alias("df"))
 
 
 def _own_term(song_id: str) -> Column:
@@ -82,18 +90,16 @@ def _own_term(song_id: str) -> Column:
 def song_vectors(songs: DataFrame, candidates: Candidates, mode: str, stop_words: Sequence[str] | None) -> DataFrame:
     """(song_id, entries) with entries (term, tf, df): one row per song, bounded by its text.
 
-    Candidates also carry their own mark with tf 0, which adds nothing to any weight.
+    Candidates also carry their own mark.
     """
-    df = candidates.postings.select("term", "df").distinct()
+    df = materialize(candidates.postings.where(F.col("tf") > 0).select("term", "df").distinct())
     counted = (
         song_term_counts(songs, mode, stop_words)
         .join(broadcast_if_small(df), "term", "left")
-        .select(F.col("doc_id").alias("song_id"), "term", "tf", F.coalesce("df", F.lit(0)).alias("df"))
+        .select("term", F.col("doc_id").alias("song_id"), "tf", F.coalesce("df", F.lit(0)).alias("df"))
     )
-    marks = candidates.ids.select("song_id", _own_term("song_id").alias("term"),
-                                  F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("df"))
     return (
-        counted.unionByName(marks)
+        counted.unionByName(_marks(candidates.ids))
         .groupBy("song_id")
         .agg(F.collect_list(F.struct("term", "tf", "df")).alias("entries"))
     )
@@ -167,9 +173,7 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
     usable = F.when(F.col("norm2") > 0, F.col("weight") * idf_user / F.sqrt("norm2")).otherwise(0.0)
     rows = profiles.select("user_id", "h", "term", usable.alias("x"),
                            (idf_user * idf_user - idf_plain * idf_plain).alias("y"))
-    marks = candidates.ids.select(_own_term("song_id").alias("term"), "song_id", F.lit(0.0).alias("ctf"))
-    postings = materialize(
-        candidates.postings.select("term", "song_id", F.col("tf").cast("double").alias("ctf")).unionByName(marks))
+    postings = candidates.postings.select("term", "song_id", F.col("tf").cast("double").alias("ctf"))
     cells = (
         rows.join(broadcast_if_small(postings), "term")
         .groupBy("user_id", "song_id")
@@ -183,7 +187,7 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
     a = F.log(F.lit(1.0) + n + F.col("h")) + 1
     squared = a * a * F.col("s0") - 2 * a * F.col("s1") + F.col("s2") + F.col("shift")
     score = F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(squared)).otherwise(0.0)
-    return cells.join(broadcast_if_small(candidates.norms), "song_id", "left").select(
+    return cells.join(broadcast_rows(candidates.norms, n), "song_id").select(
         "user_id", "song_id", score.alias("score"), "liked")
 
 
@@ -245,5 +249,5 @@ def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode
     if not candidates.has_terms:  # then a vocabulary can only come from the user's own songs
         worded = vectors.where(F.exists("entries", lambda e: e["tf"] > 0)).select("song_id")
         users = pairs.join(worded, "song_id", "left_semi").select("user_id").distinct()
-    liked = pairs.join(broadcast_if_small(candidates.ids), "song_id", "left_semi")
+    liked = pairs.join(broadcast_rows(candidates.ids, candidates.size), "song_id", "left_semi")
     return top.unionByName(zero_score_fill(top, users, liked, candidates.ids, k))

@@ -97,6 +97,13 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFra
     return F.broadcast(df) if (measured or 0) <= limit else df
 
 
+def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast of a table of numbers whose row count is already known."""
+    if any(isinstance(f.dataType, (T.StringType, T.ArrayType)) for f in df.schema.fields):
+        raise ValueError("only for columns of fixed width")
+    return F.broadcast(df) if rows * 16 * len(df.columns) <= BROADCAST_LIMIT_BYTES else df
+
+
 def shuffle_width(spark: SparkSession, rows: int = 0, rows_per_task: int = 2_000_000) -> int:
     """Number of partitions for an explicit repartition that will produce ``rows`` rows: a
     multiple of the session's shuffle partitions, so that no wave of tasks is half empty, and
