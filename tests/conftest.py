@@ -13,7 +13,9 @@ def spark():
     from likerec.session import RUNTIME_SETTINGS
 
     builder = SparkSession.builder.master("local[4]").appName("tests")
-    settings = {**RUNTIME_SETTINGS, "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+    settings = {**RUNTIME_SETTINGS, "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false",
+                # Tiny inputs: compiling each plan would take most of the time.
+                "spark.sql.codegen.wholeStage": "false",
                 "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
     for key, value in settings.items():
         builder = builder.config(key, value)
