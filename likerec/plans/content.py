@@ -1,6 +1,6 @@
 """Content-based suggestions for all users at once.
 
-The reference behaviour fits a vocabulary per user: the corpus is the user's own songs plus all
+Fitting one model per request means a vocabulary per user: the corpus is the user's own songs plus all
 candidates, so the idf of a term depends on the user. With N candidates, h songs in the history,
 ``dfC`` and ``dfH`` counting the candidates and the user's songs that hold a term,
 

@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ BATCHES = [[request(1, "u1", 1, 3), request(2, "u3", 4)], [request(3, "u1", 3, 5
 def write_batches(folder):
     folder.mkdir()
     for i, batch in enumerate(BATCHES):
-        (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        file = folder / f"{i}.json"
+        file.write_text("\n".join(json.dumps(r) for r in batch))
+        os.utime(file, (1_700_000_000 + 60 * i,) * 2)  # files are taken in the order of their age
     return str(folder)
 
 
