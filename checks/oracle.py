@@ -6,13 +6,6 @@ corpus directly and do not use the formula of the Spark plan.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-from pyspark import SparkContext
-
 from checks.oracle_base import LIKES, REQUESTS, SONGS, USERS, with_ctes
 from likerec.functions.text import default_stop_words
 
@@ -20,17 +13,7 @@ WORDS = r"\p{L}\p{N}_"
 BLANKS = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def stop_words() -> list[str]:
-    """The library's default list, also when no session is running yet."""
-    if SparkContext._active_spark_context is not None:
-        return list(default_stop_words())
-    (jar,) = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return [w for w in text.split() if "'" not in w and len(w) > 1]
-
-
-STOP = ", ".join(f"'{w}'" for w in stop_words())
+STOP = ", ".join(f"'{w}'" for w in default_stop_words())
 
 SIMILAR = """alike AS (
   SELECT a.user_id, b.user_id AS similar_user_id, count(*) AS n_common

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,9 @@ def tokens(text: Column) -> Column:
 
 @lru_cache(maxsize=None)
 def default_stop_words() -> tuple[str, ...]:
-    """English stop words that ship with Spark, without those no token can equal."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w and len(w) > 1)
+    """The English stop words of ``stop_words.txt`` beside this module; needs no session."""
+    lines = Path(__file__).with_name("stop_words.txt").read_text(encoding="utf-8").splitlines()
+    return tuple(word for word in lines if word and not word.startswith("#"))
 
 
 def read_stop_words(spark: SparkSession, path: str) -> tuple[str, ...]:
