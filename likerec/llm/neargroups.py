@@ -1,0 +1,261 @@
+"""Groups of texts with similar shingles, found by SimHash with soft Golay decoding and verified.
+
+For a similarity well below 1 the bits of two fingerprints differ in more places than a code corrects, but mostly
+where the bits were close to a tie. So fingerprints of 128 bits keep the margin of each bit while they are decoded:
+each of five segments of 23 bits is decoded after flipping its weakest bits in all combinations, and the few
+codewords that are cheapest to reach, in margins, are its indices. Any two segments with a common index make a key
+(pigeonhole: with five segments, two are enough). Of the texts that meet under a key those with few differing bits
+are linked by a spanning forest of shortest links, and each link is verified by the exact Jaccard similarity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from likerec.llm.common import broadcast_bounded, stash, text_bytes, tidy
+from likerec.llm.components import component_labels
+from likerec.llm.simhash import codeword_index, word_blocks
+
+BITS, SEGMENT_BITS, SEGMENTS = 128, 23, 5
+WEAK_BITS, INDICES = 6, 3
+# Fingerprints of texts of similarity 0.8 differ in 18 bits on average and hardly ever in more than these.
+MOST_BITS = 34
+BLOCK_ROWS = 2048
+COMPARED_AT_ONCE = 1 << 20
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles of a text as 128-bit hashes, one row of two numbers each, in order of the hashes."""
+    found: set[bytes] = set()
+    carried: list[bytes] = []
+    n_words = 0
+    for block in word_blocks(text):
+        n_words += len(block)
+        carried = carried + block
+        found.update(xxhash.xxh3_128_digest(b" ".join(w)) for w in zip(*[carried[k:] for k in range(words)]))
+        carried = carried[max(0, len(carried) - words + 1):]
+    if 0 < n_words < words:
+        found.add(xxhash.xxh3_128_digest(b" ".join(carried)))
+    return np.frombuffer(b"".join(sorted(found)), np.uint8).reshape(-1, 16)
+
+
+def margins(shingles: np.ndarray) -> np.ndarray:
+    """For each bit the share of shingles that set it, less that of those that do not."""
+    if not len(shingles):
+        return np.full(BITS, -1.0, np.float32)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 65_000):
+        ones += np.unpackbits(shingles[at: at + 65_000], axis=1).sum(axis=0, dtype=np.uint16)
+    return (2 * ones / len(shingles) - 1).astype(np.float32)
+
+
+def soft_indices(margin: np.ndarray) -> np.ndarray:
+    """The indices of each text's segments: rows x segments x ``INDICES``; -1 where there are fewer."""
+    places = np.arange(SEGMENT_BITS)
+    result = np.full((len(margin), SEGMENTS, INDICES), -1, np.int16)
+    for segment in range(SEGMENTS):
+        own = margin[:, segment * SEGMENT_BITS: (segment + 1) * SEGMENT_BITS]
+        word = ((own > 0).astype(np.int64) << places).sum(axis=1)
+        strength = np.abs(own)
+        weakest = np.argsort(strength, axis=1, kind="stable")[:, :WEAK_BITS]
+        index = np.empty((len(margin), 1 << WEAK_BITS), np.int64)
+        cost = np.empty(index.shape, np.float32)
+        for pattern in range(1 << WEAK_BITS):
+            flipped = word.copy()
+            for k in range(WEAK_BITS):
+                if pattern >> k & 1:
+                    flipped ^= 1 << weakest[:, k]
+            index[:, pattern], codeword = codeword_index(flipped, with_codeword=True)
+            cost[:, pattern] = ((((codeword ^ word)[:, None] >> places) & 1) * strength).sum(axis=1)
+        cheapest = np.take_along_axis(index, np.argsort(cost, axis=1, kind="stable"), axis=1)
+        for row, found in enumerate(cheapest.tolist()):
+            best = list(dict.fromkeys(found))[:INDICES]
+            result[row, segment, : len(best)] = best
+    return result
+
+
+def _print_rows(words: int):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            margin = np.array([margins(shingle_set(text, words)) for text in text_bytes(batch)]).reshape(-1, BITS)
+            prints = np.packbits(margin > 0, axis=1).view(">i8").astype(np.int64)
+            indices = soft_indices(margin)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ref"), batch.column("doc_id"), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()),
+                 pa.array([row.tobytes() for row in indices], pa.binary())], names=["ref", "doc_id", "hi", "lo", "indices"])
+    return rows
+
+
+def _key_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pair of indices of two segments."""
+    for batch in source:
+        node, hi, lo = (batch.column(c).to_numpy() for c in ("node", "hi", "lo"))
+        packed = batch.column("indices").to_pylist()
+        for at in range(0, len(node), 2000):
+            part = slice(at, at + 2000)
+            index = np.frombuffer(b"".join(packed[part]), np.int16).reshape(-1, SEGMENTS, INDICES).astype(np.int64)
+            for number, (a, b) in enumerate(combinations(range(SEGMENTS), 2)):
+                left, right = index[:, a, :, None], index[:, b, None, :]
+                valid = (left >= 0) & (right >= 0)
+                key = ((number << 24) | (left << 12) | right)[valid]
+                row = np.broadcast_to(np.arange(len(index))[:, None, None], valid.shape)[valid] + at
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(hi[row]), pa.array(lo[row])],
+                                                 names=["key", "node", "hi", "lo"])
+
+
+def shortest_links(a: tuple, b: tuple | None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of near pairs, in one block or between two; shorter pairs are taken first.
+
+    A block is its nodes and both halves of their fingerprints.
+    """
+    node_a, hi_a, lo_a = a
+    node_b, hi_b, lo_b = a if b is None else b
+    label_a = np.arange(len(node_a))
+    label_b = label_a if b is None else label_a[-1] + 1 + np.arange(len(node_b))
+    made = []
+    step = max(1, COMPARED_AT_ONCE // len(node_b))
+    for at in range(0, len(node_a), step):
+        rows = slice(at, at + step)
+        bits = np.bitwise_count(hi_a[rows, None] ^ hi_b[None, :]) + np.bitwise_count(lo_a[rows, None] ^ lo_b[None, :])
+        x, y = np.nonzero(bits <= MOST_BITS)
+        order = np.argsort(bits[x, y], kind="stable")
+        x, y = x[order] + at, y[order]
+        while True:
+            apart = label_a[x] != label_b[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                break
+            low, high = np.minimum(label_a[x], label_b[y]), np.maximum(label_a[x], label_b[y])
+            gone, first = np.unique(high, return_index=True)
+            made += zip(node_a[x[first]].tolist(), node_b[y[first]].tolist())
+            goes = np.arange(max(label_a.max(), label_b.max()) + 1)
+            for k, into in zip(gone.tolist(), low[first].tolist()):
+                goes[k] = goes[into]
+            label_a = goes[label_a]
+            label_b = label_a if b is None else goes[label_b]
+    return made
+
+
+def _link_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cell; the rows of a cell, of two blocks at most, may span batches."""
+    names = ["key", "first", "second", "block", "node", "hi", "lo"]
+    kept = [np.empty(0, np.int64)] * len(names)
+
+    def links(key, first, second, block, node, hi, lo) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int, int]] = []
+        if len(key):
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            ends = np.r_[starts[1:], len(key)]
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                columns = node[s:e], hi[s:e].view(np.uint64), lo[s:e].view(np.uint64)
+                if first[s] == second[s]:
+                    made += shortest_links(columns, None)
+                else:
+                    one = block[s:e] == first[s]
+                    if one.any() and not one.all():
+                        made += shortest_links(tuple(c[one] for c in columns), tuple(c[~one] for c in columns))
+        pairs = np.sort(np.array(made, np.int64).reshape(-1, 2), axis=1)
+        pairs = np.unique(pairs, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    for batch in source:
+        whole = [np.concatenate([old, batch.column(name).to_numpy().astype(np.int64)]) for old, name in zip(kept, names)]
+        cut = 0
+        if len(whole[0]):
+            last = np.ones(len(whole[0]), bool)
+            for column in whole[:3]:
+                last &= column == column[-1]
+            cut = int(np.argmax(last))
+        yield from links(*[x[:cut] for x in whole])
+        kept = [x[cut:] for x in whole]
+    yield from links(*kept)
+
+
+def _set_rows(words: int):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles as the first 8 bytes of their hashes, sorted."""
+        for batch in source:
+            packed = [np.unique(shingle_set(text, words)[:, :8].copy().view(np.uint64)).tobytes() for text in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "shingles"])
+    return rows
+
+
+def _similar_rows(similarity: float):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            good = []
+            for x, y in zip(batch.column("one"), batch.column("other")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    return rows
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidate links of ``nodes`` (node, hi, lo, indices)."""
+    keyed = nodes.select("node", "hi", "lo", "indices").mapInArrow(_key_rows, "key long, node long, hi long, lo long")
+    hot = stash(
+        keyed.groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
+        .select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")),
+        "near-hot-keys")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
+        F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")))
+    cell = ["key", "first", "second"]
+    return (
+        keyed.join(broadcast_bounded(hot, 32), "key", "left")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("cell", F.explode(cells))
+        .select("key", "cell.first", "cell.second", "block", "node", "hi", "lo")
+        .repartition(*cell).sortWithinPartitions(*cell)
+        .mapInArrow(_link_rows, "a long, b long").distinct()
+    )
+
+
+def first_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts: the one of the least doc_id (null ids last).
+
+    Texts are lower-cased (A-Z only) and cut into words at blanks. Two texts are linked if the Jaccard similarity of
+    their distinct shingles of ``words`` words is at least ``similarity``; texts of fewer words have one shingle,
+    texts without words (null ones too) are alike. Texts of the same 128-bit fingerprint are one. Links are found
+    with a probability that grows with the similarity, over 0.95 from 0.8 on; none below is made.
+
+    Repeated rows are one document. Other columns pass unchanged; an empty table gives an empty result.
+    """
+    docs = tidy(docs, ["doc_id", "text"], [])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # A row is named by its id and text.
+    named = docs.withColumn("_llm_ref", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)))
+    plain = named.select(F.col("_llm_ref").alias("ref"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    prints = plain.mapInArrow(_print_rows(words), "ref string, doc_id long, hi long, lo long, indices binary")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ref"))
+    nodes = stash(
+        prints.groupBy("hi", "lo").agg(keeper.alias("keeper"), F.first("indices").alias("indices"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "near-nodes")
+    links = stash(similar_links(nodes), "near-links")
+
+    touched = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(touched, "node").select("node", F.col("keeper.ref").alias("ref"))
+    sets = stash(
+        plain.join(wanted, "ref").select("node", "text").mapInArrow(_set_rows(words), "node long, shingles binary").dropDuplicates(["node"]),
+        "near-shingles")
+    verified = (
+        links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
+        .select("a", "b", "one", "other").mapInArrow(_similar_rows(similarity), "a long, b long")
+    )
+    labels = component_labels(verified)
+    stay = (
+        nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("keeper").alias("keeper"))
+        .select(F.col("keeper.ref").alias("_llm_ref"))
+    )
+    return named.join(stay, "_llm_ref", "left_semi").dropDuplicates(["_llm_ref"]).drop("_llm_ref")

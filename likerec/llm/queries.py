@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likerec.llm import bpe, linededup, mixing, quality, sharding, simhash, tokencounts, toxicity, vectors
+from likerec.llm import bpe, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
 from likerec.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"), width=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(table(spark, folder, "documents"), shards=16, seed=20)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),

@@ -37,7 +37,7 @@ COMPARED_AT_ONCE = 1 << 20
 TEXT_BLOCK = 1 << 20
 
 
-def _word_blocks(text: bytes) -> Iterator[list[bytes]]:
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
     """Lists of lower-cased words; a block ends at a blank if there is one near enough."""
     start = 0
     while start < len(text):
@@ -52,7 +52,7 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of the shingles of a text in order, repeats included, block by block."""
     carried: list[bytes] = []
     whole = True
-    for block in _word_blocks(text):
+    for block in word_blocks(text):
         carried = carried + block
         if len(carried) >= words:
             whole = False
@@ -103,10 +103,11 @@ def _golay_tables() -> tuple[np.ndarray, np.ndarray]:
     return upper, errors
 
 
-def codeword_index(words: np.ndarray) -> np.ndarray:
-    """The index (upper 12 bits) of the codeword within distance 3 of each 23-bit word."""
+def codeword_index(words: np.ndarray, with_codeword: bool = False):
+    """The index (upper 12 bits) of the codeword within distance 3 of each 23-bit word, and the codeword if asked for."""
     upper, errors = _golay_tables()
-    return (words ^ errors[upper[words >> 11] ^ (words & 2047)]) >> 11
+    codewords = words ^ errors[upper[words >> 11] ^ (words & 2047)]
+    return (codewords >> 11, codewords) if with_codeword else codewords >> 11
 
 
 def neighbour_indices(words: np.ndarray, length: int) -> np.ndarray:

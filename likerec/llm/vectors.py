@@ -124,8 +124,11 @@ def linked_pairs(a: _Rows, b: _Rows, same: bool, table: int, threshold: float) -
 def _cell_links(rows: list[tuple], cell: tuple, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Counted links by node, and links of a spanning forest, of a cell's rows (node, n, buckets, unit, block)."""
     _, table, _, first, second = cell
-    a = _Rows([row for row in rows if row[4] == first])
-    b = a if first == second else _Rows([row for row in rows if row[4] == second])
+    of_first, of_second = ([row for row in rows if row[4] == block] for block in (first, second))
+    if not of_first or not of_second:
+        return {}, []
+    a = _Rows(of_first)
+    b = a if first == second else _Rows(of_second)
     counted: dict[int, int] = {}
     n_a, n_b = np.zeros(len(a.node), np.int64), np.zeros(len(b.node), np.int64)
     label_a = np.arange(len(a.node))
@@ -151,7 +154,7 @@ def _cell_links(rows: list[tuple], cell: tuple, threshold: float) -> tuple[dict[
                 label_a = label_b = goes[label_a]
             else:
                 label_a, label_b = goes[label_a], goes[label_b]
-    for nodes, numbers in ((a.node, n_a), (b.node, n_b)):
+    for nodes, numbers in ((a.node, n_a), (b.node, n_b))[: 1 if a is b else 2]:
         for k in np.flatnonzero(numbers).tolist():
             counted[int(nodes[k])] = counted.get(int(nodes[k]), 0) + int(numbers[k])
     return counted, forest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from likerec.llm import components, linededup, repeats, simhash, suffix
+from likerec.llm import components, linededup, neargroups, repeats, simhash, suffix
 from tests.llm import edge
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -159,3 +160,47 @@ def test_segments_hold_each_window_once(text, half, seed):
     for first, last, _, _ in repeats.segments(text, width, seed):
         starts += [k for a, b in zip(first.tolist(), last.tolist()) for k in range(a, b - width + 1)]
     assert sorted(starts) == list(range(len(text) - width + 1))
+
+
+def plain_shingles(text):
+    words = [w for w in "".join(" " if c in BLANKS else c for c in (text or "").lower()).split(" ") if w]
+    return frozenset(" ".join(words[k:k + 5]) for k in range(len(words) - 4)) or frozenset([" ".join(words)])
+
+
+def near_copies(seed):
+    """Texts, each with copies of which more and more words differ."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(25):
+        words = edge.prose(rng, rng.randint(80, 400)).split()
+        for changed in (0, 1, 2, 4, 12, 40):
+            copy = list(words)
+            for place in rng.sample(range(len(copy)), changed):
+                copy[place] = edge.word(rng)
+            rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    return rows
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rows = near_copies(4)
+    sets = [plain_shingles(r[1]) for r in rows]
+    roots = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    want = {min(r[0] for r, root in zip(rows, roots) if root == k) for k in set(roots)}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r[0] for r in neargroups.first_of_each_group(table).select("doc_id").collect()}
+    assert want <= got  # nothing is linked below the similarity
+    assert len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_groups_of_edge_cases(spark, monkeypatch, block):
+    monkeypatch.setattr(neargroups, "BLOCK_ROWS", block)
+    rows = edge.rows(5)
+    got = neargroups.first_of_each_group(edge.documents(spark, 5))
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    sets = [plain_shingles(t) for _, t in kept]
+    assert len(kept) == len(set(kept))
+    assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    of = {plain_shingles(t) for _, t in [(r[0], r[1]) for r in rows]}
+    assert all(any(len(a & b) >= 0.8 * len(a | b) for b in sets) for a in of)
+    assert neargroups.first_of_each_group(edge.empty(spark)).count() == 0
