@@ -36,8 +36,9 @@ LINES = """fx_lines AS (
   SELECT o_custkey AS user_id, l_partkey AS song_id, o_orderdate AS created_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-STORED = """st_songs AS (SELECT * FROM fx_songs WHERE updated_at >= TIMESTAMP '2024-01-01 01:00:00'),
-st_likes AS (SELECT * FROM fx_likes WHERE song_id IN (SELECT id FROM st_songs))"""
+# What is stored before a batch of requests.
+STORED = """st_songs AS (SELECT * FROM fx_songs),
+st_likes AS (SELECT * FROM fx_likes)"""
 
 
 def normalized(text: str) -> str:
@@ -59,13 +60,13 @@ exploded AS (SELECT request_id, ts, user_id, genre, generate_subscripts(songs, 1
 items AS (SELECT *, {normalized('song_name')} AS query FROM exploded)"""
 
 RESOLVED = f"""forms AS (
-  SELECT 1 AS tier, id, {normalized("concat(title, ' - ', artist)")} AS query FROM fx_songs
-  UNION ALL SELECT 2, id, {normalized('title')} FROM fx_songs),
+  SELECT 1 AS tier, id, {normalized("concat(title, ' - ', artist)")} AS query FROM fx_catalog
+  UNION ALL SELECT 2, id, {normalized('title')} FROM fx_catalog),
 best AS (SELECT query, id FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, id) AS n FROM forms) WHERE n = 1),
 resolved AS (
   SELECT i.request_id, i.position, i.ts, i.user_id, i.query, s.video_id, s.title, s.artist
-  FROM items i LEFT JOIN best b ON b.query = i.query LEFT JOIN fx_songs s ON s.id = b.id)"""
+  FROM items i LEFT JOIN best b ON b.query = i.query LEFT JOIN fx_catalog s ON s.id = b.id)"""
 
 # What a batch of requests adds to the tables.
 ADDED = """new_users AS (
@@ -91,7 +92,7 @@ SNAPSHOT = """request_ids AS (
   SELECT a.request_id, a.ts, a.user_id,
          list_sort(list(DISTINCT s.id) FILTER (WHERE s.id IS NOT NULL)) AS song_ids
   FROM accepted a LEFT JOIN resolved r ON r.request_id = a.request_id AND r.video_id IS NOT NULL
-  LEFT JOIN {songs} s ON s.video_id = r.video_id GROUP BY a.request_id, a.ts, a.user_id),
+  LEFT JOIN all_songs s ON s.video_id = r.video_id GROUP BY a.request_id, a.ts, a.user_id),
 snapshot AS (
   SELECT user_id, coalesce(song_ids, CAST([] AS BIGINT[])) AS song_ids, ts FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) AS n
@@ -132,7 +133,7 @@ RANKING = """cells AS (
   FROM sizes h CROSS JOIN pool p LEFT JOIN scored c ON c.user_id = h.user_id AND c.song_id = p.doc_id),
 ranked AS (
   SELECT c.user_id, c.song_id, c.score,
-         row_number() OVER (PARTITION BY c.user_id ORDER BY floor(c.score * 1e9 + 0.5) DESC, c.song_id) AS rank
+         row_number() OVER (PARTITION BY c.user_id ORDER BY floor(c.score * 1e9 + 0.5) DESC, c.score > 0 DESC, c.song_id) AS rank
   FROM cells c WHERE NOT EXISTS (
     SELECT 1 FROM {likes} l WHERE l.user_id = c.user_id AND l.song_id = c.song_id)),
 content AS (
@@ -368,15 +369,16 @@ def build() -> dict[str, str]:
         UNION ALL
         SELECT t.user_id, p.rank, p.title, p.artist, p.video_id, p.score, 'popular'
         FROM targets t JOIN picked p ON p.user_id = t.user_id WHERE t.id NOT IN (SELECT user_id FROM all_likes)""")
-    sql["append_likes"] = with_ctes(SONGS, LIKES, STORED, final="""
-        SELECT * FROM st_likes UNION ALL
-        SELECT user_id, song_id, TIMESTAMP '2024-02-01 00:00:00' FROM fx_likes
-        WHERE song_id NOT IN (SELECT id FROM st_songs)""")
-    sql["append_likes_twice"] = sql["scan_likes"]
+    event_likes = """ev_likes AS (
+      SELECT user_id, event_id * 7919 % (SELECT count(*) FROM part) AS song_id, min(ts) AS first_ts FROM events GROUP BY ALL)"""
+    appended = """SELECT * FROM fx_likes UNION ALL SELECT user_id, song_id, {time} FROM ev_likes e
+        WHERE NOT EXISTS (SELECT 1 FROM fx_likes l WHERE l.user_id = e.user_id AND l.song_id = e.song_id)"""
+    sql["append_likes"] = with_ctes(LIKES, event_likes, final=appended.format(time="TIMESTAMP '2024-02-01 00:00:00'"))
+    sql["append_likes_twice"] = with_ctes(LIKES, event_likes, final=appended.format(time="first_ts"))
     sql["audit_constraints"] = with_ctes(REQUESTS, """
         u AS (SELECT request_id AS id, user_id, genre AS name, ts FROM fx_requests),
         s AS (SELECT doc_id AS id, source AS video_id, text AS title, lang AS artist FROM documents),
-        l AS (SELECT o_orderkey AS user_id, o_custkey AS song_id, CASE WHEN l_partkey IS NOT NULL THEN o_orderdate END AS dated
+        l AS (SELECT o_orderkey AS user_id, CASE WHEN l_linenumber <= 6 OR l_linenumber IS NULL THEN o_custkey END AS song_id, CASE WHEN l_partkey IS NOT NULL THEN o_orderdate END AS dated
               FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)""", final="""
         SELECT 'users' AS table_name, 'id not null' AS rule, (SELECT count(*) FROM u WHERE id IS NULL) AS violations
         UNION ALL SELECT 'users', 'user_id not null', (SELECT count(*) FROM u WHERE user_id IS NULL)
@@ -385,9 +387,9 @@ def build() -> dict[str, str]:
         UNION ALL SELECT 'users', 'user_id at most 255', (SELECT count(*) FROM u WHERE length(user_id) > 255)
         UNION ALL SELECT 'users', 'name at most 255', (SELECT count(*) FROM u WHERE length(name) > 255)
         UNION ALL SELECT 'users', 'email at most 255', 0
-        UNION ALL SELECT 'users', 'id unique', (SELECT count(*) FROM (SELECT id FROM u GROUP BY id HAVING count(*) > 1))
+        UNION ALL SELECT 'users', 'id unique', (SELECT count(*) FROM (SELECT id FROM u WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1))
         UNION ALL SELECT 'users', 'user_id unique',
-          (SELECT count(*) FROM (SELECT user_id FROM u GROUP BY user_id HAVING count(*) > 1))
+          (SELECT count(*) FROM (SELECT user_id FROM u WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) > 1))
         UNION ALL SELECT 'songs', 'id not null', (SELECT count(*) FROM s WHERE id IS NULL)
         UNION ALL SELECT 'songs', 'video_id not null', (SELECT count(*) FROM s WHERE video_id IS NULL)
         UNION ALL SELECT 'songs', 'title not null', (SELECT count(*) FROM s WHERE title IS NULL)
@@ -397,22 +399,23 @@ def build() -> dict[str, str]:
         UNION ALL SELECT 'songs', 'title at most 512', (SELECT count(*) FROM s WHERE length(title) > 512)
         UNION ALL SELECT 'songs', 'artist at most 256', (SELECT count(*) FROM s WHERE length(artist) > 256)
         UNION ALL SELECT 'songs', 'genre at most 128', 0
-        UNION ALL SELECT 'songs', 'id unique', (SELECT count(*) FROM (SELECT id FROM s GROUP BY id HAVING count(*) > 1))
+        UNION ALL SELECT 'songs', 'id unique', (SELECT count(*) FROM (SELECT id FROM s WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1))
         UNION ALL SELECT 'songs', 'video_id unique',
-          (SELECT count(*) FROM (SELECT video_id FROM s GROUP BY video_id HAVING count(*) > 1))
+          (SELECT count(*) FROM (SELECT video_id FROM s WHERE video_id IS NOT NULL GROUP BY video_id HAVING count(*) > 1))
         UNION ALL SELECT 'likes', 'user_id not null', (SELECT count(*) FROM l WHERE user_id IS NULL)
         UNION ALL SELECT 'likes', 'song_id not null', (SELECT count(*) FROM l WHERE song_id IS NULL)
         UNION ALL SELECT 'likes', 'created_at not null', (SELECT count(*) FROM l WHERE dated IS NULL)
         UNION ALL SELECT 'likes', 'user_id, song_id unique',
-          (SELECT count(*) FROM (SELECT 1 FROM l GROUP BY user_id, song_id HAVING count(*) > 1))
-        UNION ALL SELECT 'likes', 'user_id refers to a row', (SELECT count(*) FROM l WHERE user_id NOT IN (SELECT id FROM u))
-        UNION ALL SELECT 'likes', 'song_id refers to a row', (SELECT count(*) FROM l WHERE song_id NOT IN (SELECT id FROM s))""")
+          (SELECT count(*) FROM (SELECT 1 FROM l WHERE user_id IS NOT NULL AND song_id IS NOT NULL GROUP BY user_id, song_id HAVING count(*) > 1))
+        UNION ALL SELECT 'likes', 'user_id refers to a row', (SELECT count(*) FROM l WHERE user_id NOT IN (SELECT id FROM u WHERE id IS NOT NULL))
+        UNION ALL SELECT 'likes', 'song_id refers to a row', (SELECT count(*) FROM l WHERE song_id NOT IN (SELECT id FROM s WHERE id IS NOT NULL))""")
     gone = "gone AS (SELECT id FROM fx_users WHERE user_id IN (SELECT user_id FROM fx_requests))"
     sql["purge_users"] = with_ctes(USERS, REQUESTS, gone, final="SELECT * FROM fx_users WHERE id NOT IN (SELECT id FROM gone)")
     sql["purge_users_likes"] = with_ctes(USERS, LIKES, REQUESTS, gone, final="""
         SELECT * FROM fx_likes WHERE user_id NOT IN (SELECT id FROM gone)""")
-    sql["purge_songs_likes"] = with_ctes(SONGS, LIKES, STORED, final="""
-        SELECT * FROM fx_likes WHERE song_id NOT IN (SELECT id FROM st_songs)""")
+    sql["purge_songs_likes"] = with_ctes(SONGS, LIKES, REQUESTS, ITEMS, RESOLVED, final="""
+        SELECT * FROM fx_likes WHERE song_id NOT IN (
+          SELECT s.id FROM fx_songs s JOIN resolved r ON r.video_id = s.video_id)""")
     sql["migrate_users_down"] = with_ctes(USERS, final="SELECT id, user_id, created_at FROM fx_users")
     sql["migrate_users_up"] = with_ctes(USERS, final="""
         SELECT id, user_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email, created_at,
@@ -420,16 +423,17 @@ def build() -> dict[str, str]:
     sql["too_long_for_first_version"] = with_ctes(REQUESTS, final="""
         SELECT request_id AS id, user_id FROM fx_requests WHERE length(user_id) > 128""")
 
-    snapshot = (USERS, SONGS, LIKES, REQUESTS, ITEMS, RESOLVED, SNAPSHOT.format(songs="fx_songs"))
+    snapshot = (*requests, SNAPSHOT)
     sql["recent_likes_snapshot"] = with_ctes(*snapshot, final="SELECT * FROM snapshot")
+    sql["stream_recent_likes"] = sql["recent_likes_snapshot"]
     sql["liked_songs_as_served"] = with_ctes(*snapshot, final=f"""
         SELECT n.user_id, s.video_id, s.title, s.artist, 'from_cache' AS created_at
-        FROM (SELECT user_id, unnest(song_ids) AS song_id FROM snapshot) n JOIN fx_songs s ON s.id = n.song_id
+        FROM (SELECT user_id, unnest(song_ids) AS song_id FROM snapshot) n JOIN all_songs s ON s.id = n.song_id
         WHERE n.user_id IN (SELECT user_id FROM fx_users)
         UNION ALL {rows} WHERE u.user_id NOT IN (SELECT user_id FROM snapshot)""")
     sql["reusable_searches"] = with_ctes(SONGS, REQUESTS, ITEMS, RESOLVED, """
         lookups AS (SELECT DISTINCT query, ts, video_id IS NOT NULL AS hit FROM resolved
-                    WHERE position = 1 AND query IS NOT NULL)""", final="""
+                    WHERE query IS NOT NULL)""", final="""
         SELECT i.request_id, i.position, i.ts, i.query,
           CASE WHEN i.ts < l.ts + CASE WHEN l.hit THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END THEN l.ts END AS lookup_ts,
           CASE WHEN i.ts < l.ts + CASE WHEN l.hit THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END THEN l.hit END AS hit
@@ -437,11 +441,6 @@ def build() -> dict[str, str]:
     sql["stream_likes"] = with_ctes(*requests, final="""
         SELECT user_id, song_id, created_at FROM st_likes UNION ALL
         SELECT user_id, song_id, first_ts FROM new_likes""")
-    sql["stream_recent_likes"] = with_ctes(*requests, SNAPSHOT.format(songs="all_songs"), """
-        last_per_user AS (SELECT * FROM request_ids QUALIFY row_number() OVER
-          (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) = 1)""", final="""
-        SELECT user_id, coalesce(song_ids, CAST([] AS BIGINT[])) AS song_ids, ts FROM last_per_user
-        WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' AND ts + INTERVAL 12 HOUR > TIMESTAMP '2024-01-30 12:00:00'""")
     sql["collaborative_suggestions_spread"] = sql["collaborative_suggestions"]
     sql["content_suggestions_spread"] = sql["content_suggestions"]
     return {name: with_types(text, TYPED.get(name, ())) for name, text in sql.items()}

@@ -36,21 +36,19 @@ class Inputs:
         lambda self: materialize(self.requests.repartition(shuffle_width(self.spark), "request_id")))
     documents = property(lambda self: fx.documents(self.spark, self.folder))
 
-    def stored(self):
-        """Songs and likes as they are before any request."""
-        songs = fx.stored_songs(self.songs)
-        return songs, fx.stored_likes(self.likes, songs)
+    catalog = property(lambda self: fx.catalog(self.spark, self.folder))
 
     def items(self, requests=None):
         accepted, _ = ingest.validate_requests(self.requests if requests is None else requests)
         return ingest.explode_requests(accepted)
 
     def request_writes(self):
-        """(request_id, ts, user_id, song_ids) of every accepted request."""
+        """(request_id, ts, user_id, song_ids) of every accepted request, and all songs then stored."""
         requests = self.request_table
         accepted, _ = ingest.validate_requests(requests)
-        resolved = ingest.resolve_songs(self.items(requests), self.songs)
-        return serving.request_song_ids(accepted, resolved, self.songs)
+        done = hybrid.store_requests(requests, self.users, self.songs, self.likes, self.catalog, AS_OF, AS_OF)
+        stored = self.songs.unionByName(done.new_songs)
+        return serving.request_song_ids(accepted, done.resolved, stored), stored
 
 
 def scan_users(spark, folder):
@@ -159,7 +157,7 @@ def search_responses_all(spark, folder):
 
 def resolve_songs(spark, folder):
     t = Inputs(spark, folder)
-    resolved = ingest.resolve_songs(t.items(), t.songs, keep_unresolved=True)
+    resolved = ingest.resolve_songs(t.items(), t.catalog, keep_unresolved=True)
     return resolved.select("request_id", "position", "query", "video_id", "title", "artist")
 
 
@@ -290,18 +288,16 @@ def upsert_users(spark, folder):
 
 def upsert_songs(spark, folder):
     t = Inputs(spark, folder)
-    return writes.upsert_songs(t.stored()[0], ingest.resolve_songs(t.items(), t.songs), AS_OF)
+    return writes.upsert_songs(t.songs, ingest.resolve_songs(t.items(), t.catalog), AS_OF)
 
 
 def append_likes(spark, folder):
-    t = Inputs(spark, folder)
-    return writes.append_likes(t.stored()[1], fx.line_likes(spark, folder), AS_OF)
+    return writes.append_likes(Inputs(spark, folder).likes, fx.event_likes(spark, folder), AS_OF)
 
 
 def append_likes_twice(spark, folder):
-    t = Inputs(spark, folder)
-    lines = fx.line_likes(spark, folder)
-    return writes.append_likes(writes.append_likes(t.stored()[1], lines), lines, AS_OF)
+    events = fx.event_likes(spark, folder)
+    return writes.append_likes(writes.append_likes(Inputs(spark, folder).likes, events), events)
 
 
 def audit_constraints(spark, folder):
@@ -322,7 +318,8 @@ def purge_users_likes(spark, folder):
 
 def purge_songs_likes(spark, folder):
     t = Inputs(spark, folder)
-    return writes.purge(t.songs, t.likes, t.stored()[0], "song_id")[1]
+    named = t.songs.join(ingest.resolve_songs(t.items(), t.catalog).select("video_id"), "video_id", "left_semi")
+    return writes.purge(t.songs, t.likes, named, "song_id")[1]
 
 
 def migrate_users_down(spark, folder):
@@ -338,34 +335,33 @@ def too_long_for_first_version(spark, folder):
 
 
 def recent_likes_snapshot(spark, folder):
-    return serving.recent_likes_snapshot(Inputs(spark, folder).request_writes(), SNAPSHOT_AS_OF, ttl=12 * 3600)
+    return serving.recent_likes_snapshot(Inputs(spark, folder).request_writes()[0], SNAPSHOT_AS_OF, ttl=12 * 3600)
 
 
 def liked_songs_as_served(spark, folder):
     t = Inputs(spark, folder)
-    snapshot = serving.recent_likes_snapshot(t.request_writes(), SNAPSHOT_AS_OF, ttl=12 * 3600)
-    return serving.liked_songs_as_served(t.users, snapshot, t.users, t.likes, t.songs)
+    writes_, songs = t.request_writes()
+    snapshot = serving.recent_likes_snapshot(writes_, SNAPSHOT_AS_OF, ttl=12 * 3600)
+    return serving.liked_songs_as_served(t.users, snapshot, t.users, t.likes, songs)
 
 
 def reusable_searches(spark, folder):
     t = Inputs(spark, folder)
     items = t.items(t.request_table)
-    resolved = ingest.resolve_songs(items, t.songs, keep_unresolved=True)
-    lookups = resolved.where((F.col("position") == 1) & F.col("query").isNotNull()).select(
+    resolved = ingest.resolve_songs(items, t.catalog, keep_unresolved=True)
+    lookups = resolved.where(F.col("query").isNotNull()).select(
         "query", "ts", F.col("video_id").isNotNull().alias("hit"))
     return serving.reusable_searches(items, lookups)
 
 
 def _processed(spark, folder):
     t = Inputs(spark, folder)
-    songs, likes = t.stored()
-    return hybrid.process_requests(t.request_table, t.users, songs, materialize(likes), t.songs, AS_OF)
+    return hybrid.process_requests(t.request_table, t.users, t.songs, t.like_table, t.catalog, AS_OF)
 
 
 def _stored(spark, folder):
     t = Inputs(spark, folder)
-    songs, likes = t.stored()
-    return hybrid.store_requests(t.request_table, t.users, songs, likes, t.songs, AS_OF, AS_OF)
+    return hybrid.store_requests(t.request_table, t.users, t.songs, t.likes, t.catalog, AS_OF, AS_OF)
 
 
 def process_requests_new_users(spark, folder):
@@ -386,12 +382,11 @@ def process_requests_suggestions(spark, folder):
 
 def _streamed(spark, folder):
     t = Inputs(spark, folder)
-    songs, likes = t.stored()
     path = scratch_folder(spark, "stream")
     store = LikeStore(spark, f"{path}/tables")
-    store.start(t.users, songs, likes)
+    store.start(t.users, t.songs, t.likes)
     incoming = fx.requests(spark, folder, fx.stream_events(spark, folder))
-    stream = run_stream(incoming, store, t.songs, f"{path}/progress", available_now=True)
+    stream = run_stream(incoming, store, t.catalog, f"{path}/progress", available_now=True)
     stream.awaitTermination(600)
     if stream.isActive or stream.exception():
         stream.stop()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from likerec.functions.text import normalize_query
 from likerec.schema import SEARCH_RESPONSE
-from likerec.session import broadcast_if_small, materialize
+from likerec.session import materialize
 
 MAX_USER_ID = 255
 MAX_SONGS = 50
@@ -108,5 +108,5 @@ def resolve_songs(names: DataFrame, catalog: DataFrame, keep_unresolved: bool =
     )
     if keep_unresolved:
         hits = spellings.join(hits.drop("query"), "song_name", "left")
-    answers = broadcast_if_small(materialize(hits))
+    answers = materialize(hits)
     return names.drop("query").join(answers, "song_name", "left" if keep_unresolved else "inner")

@@ -23,20 +23,20 @@ def _likes_of(likes: DataFrame, users: DataFrame, wanted: DataFrame | None) -> D
 
 def liked_songs(users: DataFrame, likes: DataFrame, songs: DataFrame,
                 wanted: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """Each user's liked songs, newest like first, ties by song id."""
+    """Each user's liked songs, newest like first, ties by song id; a user's rows lie together."""
     rows = _likes_of(likes, users, wanted).join(
         songs.select(F.col("id").alias("song_id"), "video_id", "title", "artist"), "song_id"
     ).select("user_id", "song_id", "video_id", "title", "artist", F.col("liked_at").alias("created_at"))
-    return rows.orderBy("user_id", F.desc("created_at"), "song_id") if ordered else rows
+    return rows.repartition("user_id").sortWithinPartitions("user_id", F.desc("created_at"), "song_id") if ordered else rows
 
 
 def user_history(users: DataFrame, likes: DataFrame, songs: DataFrame,
                  wanted: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """Every song column of each user's likes, in song order."""
+    """Every song column of each user's likes, in song order; a user's rows lie together."""
     rows = _likes_of(likes, users, wanted).join(
         songs.select(F.col("id").alias("song_id"), *SONG_COLUMNS), "song_id"
     ).select("user_id", "song_id", *SONG_COLUMNS)
-    return rows.orderBy("user_id", "song_id") if ordered else rows
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "song_id") if ordered else rows
 
 
 def songs_by_ids(songs: DataFrame, wanted: DataFrame) -> DataFrame:

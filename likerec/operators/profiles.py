@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from likerec.session import broadcast_if_small, materialize, with_new_ids
+from likerec.session import materialize, with_new_ids
 
 # Scores are compared in steps of one billionth, so that the order in which doubles are summed
 # cannot decide a rank.
@@ -17,6 +17,11 @@ def score_steps(score: Column) -> Column:
     return F.floor(score / SCORE_STEP + 0.5)
 
 
+def best_first() -> list[Column]:
+    """Order of scored rows: by step, a score before none, then the smaller id."""
+    return [F.desc(score_steps(F.col("score"))), F.desc(F.col("score") > 0), F.col("song_id")]
+
+
 def user_profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean vector (user_id, term, weight) of each user's songs.
 
@@ -26,7 +31,7 @@ def user_profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     sizes = history.groupBy("user_id").agg(F.count("*").alias("h"))
     sums = (
-        history.join(broadcast_if_small(vectors.withColumnRenamed("doc_id", "song_id")), "song_id")
+        history.join(vectors.withColumnRenamed("doc_id", "song_id"), "song_id")
         .groupBy("user_id", "term")
         .agg(F.sum("weight").alias("total"))
     )
@@ -47,7 +52,7 @@ def cosine_scores(profiles: DataFrame, candidate_vectors: DataFrame) -> DataFram
     unit_candidates = candidate_vectors.join(candidate_norms, "doc_id").select(
         F.col("doc_id").alias("song_id"), "term", (F.col("weight") / F.col("norm")).alias("c"))
     return (
-        unit_profiles.join(broadcast_if_small(unit_candidates), "term")
+        unit_profiles.join(unit_candidates, "term")
         .groupBy("user_id", "song_id")
         .agg(F.sum(F.col("p") * F.col("c")).alias("score"))
     )
@@ -63,11 +68,11 @@ def rank_unliked(scores: DataFrame, history: DataFrame, candidates: DataFrame, k
     matter; these few rows, not all scores, meet the likes.
     """
     pool = candidates.select(F.col("id").alias("song_id"))
-    liked = history.select("user_id", "song_id").join(broadcast_if_small(pool), "song_id", "left_semi")
+    liked = history.select("user_id", "song_id").join(pool, "song_id", "left_semi")
     n_liked = liked.groupBy("user_id").agg(F.count("*").alias("n_liked"))
-    order = Window.partitionBy("user_id").orderBy(F.desc(score_steps(F.col("score"))), "song_id")
+    order = Window.partitionBy("user_id").orderBy(*best_first())
     short_list = (
-        scores.where(score_steps(F.col("score")) > 0)
+        scores.where(F.col("score") > 0)
         .join(n_liked, "user_id", "left")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k + F.coalesce("n_liked", F.lit(0)))
@@ -113,7 +118,7 @@ def zero_score_fill(top: DataFrame, users: DataFrame, liked: DataFrame, pool: Da
     )
     order = Window.partitionBy("user_id").orderBy("song_id")
     return (
-        slots.join(broadcast_if_small(numbered), "position")
+        slots.join(numbered, "position")
         .join(taken, ["user_id", "song_id"], "left_anti")
         .withColumn("rank", F.col("n").cast("int") + F.row_number().over(order))
         .where(F.col("rank") <= k)

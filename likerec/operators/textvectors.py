@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from likerec.functions.text import default_stop_words, tokens
-from likerec.session import broadcast_if_small
 
 
 def tokenize(docs: DataFrame, text: Column | str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
@@ -53,7 +52,7 @@ def tfidf(tf: DataFrame, term_idf: DataFrame) -> DataFrame:
     shuffle, where the adaptive skew join splits very common terms.
     """
     raw = F.col("tf") * F.col("idf")
-    weighted = tf.join(broadcast_if_small(term_idf.select("term", "idf")), "term").select(
+    weighted = tf.join(term_idf.select("term", "idf"), "term").select(
         "doc_id", "term", raw.alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return weighted.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))

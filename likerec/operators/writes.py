@@ -112,7 +112,8 @@ def audit_constraints(users: DataFrame, songs: DataFrame, likes: DataFrame) -> D
     """(table_name, rule, violations) for every declared rule, zero where it holds.
 
     Null and length rules of a table are counted in one pass; keys that occur more than once and
-    likes without a user or a song are counted by aggregates and anti joins.
+    likes without a user or a song are counted by aggregates and anti joins. Null keys break the
+    not-null rules only.
     """
     required = {
         "users": (users, ["id", "user_id", "created_at", "updated_at"]),
@@ -130,11 +131,11 @@ def audit_constraints(users: DataFrame, songs: DataFrame, likes: DataFrame) -> D
     keys = [("users", users, ["id"]), ("users", users, ["user_id"]), ("songs", songs, ["id"]),
             ("songs", songs, ["video_id"]), ("likes", likes, ["user_id", "song_id"])]
     for name, table, columns in keys:
-        repeated = table.groupBy(*columns).count().where(F.col("count") > 1)
+        repeated = table.dropna(subset=columns).groupBy(*columns).count().where(F.col("count") > 1)
         report.append(_violation(name, f"{', '.join(columns)} unique", repeated))
     for column, parent in (("user_id", users), ("song_id", songs)):
         # Orphans are counted per key, so a hot key meets its parent once.
-        per_key = likes.groupBy(column).count()
+        per_key = likes.dropna(subset=[column]).groupBy(column).count()
         orphans = per_key.join(parent.select(F.col("id").alias(column)), column, "left_anti")
         report.append(orphans.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("violations")).select(
             F.lit("likes").alias("table_name"), F.lit(f"{column} refers to a row").alias("rule"), "violations"))

@@ -29,10 +29,10 @@ from pyspark.sql.window import Window
 from likerec.functions.text import feature_text
 from likerec.operators.lookup import candidate_songs
 from likerec.operators.profiles import (
-    cosine_scores, rank_unliked, score_steps, user_profiles, zero_score_fill,
+    best_first, cosine_scores, rank_unliked, user_profiles, zero_score_fill,
 )
 from likerec.operators.textvectors import document_terms, idf, tfidf
-from likerec.session import broadcast_if_small, broadcast_rows, materialize, shuffle_width
+from likerec.session import broadcast_rows, materialize, shuffle_width
 
 # Users with more likes than this are weighted by shuffles on (user, term) instead of in one task.
 HEAVY_HISTORY = 100_000
@@ -95,7 +95,7 @@ def song_vectors(songs: DataFrame, candidates: Candidates, mode: str, stop_words
     df = materialize(candidates.postings.where(F.col("tf") > 0).select("term", "df").distinct())
     counted = (
         song_term_counts(songs, mode, stop_words)
-        .join(broadcast_if_small(df), "term", "left")
+        .join(df, "term", "left")
         .select("term", F.col("doc_id").alias("song_id"), "tf", F.coalesce("df", F.lit(0)).alias("df"))
     )
     return (
@@ -140,7 +140,7 @@ def weighted_profiles(likes: DataFrame, vectors: DataFrame, candidates: Candidat
     pairs = likes.select("user_id", "song_id")
     sizes = pairs.groupBy("user_id").agg(F.count("*").alias("h"))
     stats = sizes.agg(F.count("*").alias("n_users"), F.max("h").alias("longest")).first()
-    packed_vectors = broadcast_if_small(vectors)
+    packed_vectors = vectors
     width = shuffle_width(spark, (stats["n_users"] or 0) * candidates.size)
     entry = F.explode("entries").alias("e")
 
@@ -152,7 +152,7 @@ def weighted_profiles(likes: DataFrame, vectors: DataFrame, candidates: Candidat
 
     if (stats["longest"] or 0) <= heavy_history:
         return regular(pairs)
-    heavy = broadcast_if_small(materialize(sizes.where(F.col("h") > heavy_history)))
+    heavy = materialize(sizes.where(F.col("h") > heavy_history))
     entries = (
         pairs.join(heavy, "user_id").join(packed_vectors, "song_id")
         .select("user_id", "h", "song_id", entry).select("user_id", "h", "song_id", "e.*")
@@ -175,7 +175,7 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
                            (idf_user * idf_user - idf_plain * idf_plain).alias("y"))
     postings = candidates.postings.select("term", "song_id", F.col("tf").cast("double").alias("ctf"))
     cells = (
-        rows.join(broadcast_if_small(postings), "term")
+        rows.join(postings, "term")
         .groupBy("user_id", "song_id")
         .agg(
             F.max("h").alias("h"),
@@ -213,12 +213,14 @@ def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: i
     """(user_id, rank, song_id, video_id, title, artist, score): the ``k`` unliked candidates
     closest to the user's taste.
 
-    Candidates are the ``pool`` most recently updated songs. Users without likes get no row, and
+    Candidates are the ``pool`` most recently updated songs. Likes of songs that are gone do not
+    count. Users without likes get no row, and
     nobody gets one when neither side has a usable token. ``corpus="shared"`` fits one idf on
     the candidates instead of one per user.
     """
     if wanted is not None:
         likes = likes.join(wanted.select("user_id").distinct(), "user_id", "left_semi")
+    likes = likes.join(songs.select(F.col("id").alias("song_id")), "song_id", "left_semi")
     details = songs.select(F.col("id").alias("song_id"), "video_id", "title", "artist")
     if corpus == "shared":
         ranked = _shared_corpus(likes, songs, k, pool, mode, stop_words)
@@ -236,12 +238,12 @@ def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode
     vectors = materialize(song_vectors(songs, candidates, mode, stop_words))
     profiles = weighted_profiles(likes, vectors, candidates, heavy_history)
     # Liked candidates sort last: they only show up in lists that are too short.
-    order = Window.partitionBy("user_id").orderBy("liked", F.desc(score_steps(F.col("score"))), "song_id")
+    order = Window.partitionBy("user_id").orderBy("liked", *best_first())
     top = materialize(
         content_scores(profiles, candidates)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .where(~F.col("liked") & (score_steps(F.col("score")) > 0))
+        .where(~F.col("liked") & (F.col("score") > 0))
         .select("user_id", "song_id", "score", "rank")
     )
     pairs = likes.select("user_id", "song_id")

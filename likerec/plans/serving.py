@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from likerec.functions.suggestions import to_liked_rows
 from likerec.operators.lookup import liked_songs
+from likerec.session import materialize
 
 SNAPSHOT_SECONDS = 3600
 HIT_SECONDS = 7 * 24 * 3600
@@ -65,6 +66,7 @@ def liked_songs_as_served(wanted: DataFrame, snapshot: DataFrame, users: DataFra
     skipped.
     """
     asked = wanted.select("user_id").distinct()
+    snapshot = materialize(snapshot)
     hits = snapshot.join(asked, "user_id", "left_semi")
     cached = (
         hits.select("user_id", F.explode("song_ids").alias("id"))

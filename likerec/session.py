@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Joins are broadcast by the size of stored files and of finished shuffles; larger ones shuffle.
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 # Largest table that may be shipped to every executor.
@@ -30,8 +33,6 @@ def build_session(app_name: str = "likerec", master: str | None = None, **settin
         builder = builder.master(master)
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
-    # Checkpointed intermediates go when nothing refers to them any more.
-    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
@@ -64,37 +65,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the reliable checkpoint folder.
+    """Compute ``df`` once and keep it as Parquet in the shared folder.
 
-    Used where a result feeds several branches of one job: the stored files survive the loss
-    of executors, and later stages read them instead of running the lineage again.
+    Used where a result feeds several branches of one job: the stored files survive the loss of
+    executors, later scans read only the columns they need, and joins know their size.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _row_bytes(schema: T.StructType) -> Column:
-    """Size of a flat row: 16 bytes per field plus the text it holds."""
-    size = F.lit(0)
-    for field in schema.fields:
-        size = size + 16
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            text = F.octet_length(F.to_json(F.struct(field.name)))
-            size = size + 2 * F.coalesce(text, F.lit(0))
-    return size
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int | None = None) -> DataFrame:
-    """Hint a broadcast when the measured size allows it, else leave the join to Spark.
-
-    Costs one pass over ``df``, so it is meant for materialized or tiny inputs that join
-    something much larger.
-    """
-    limit = BROADCAST_LIMIT_BYTES if limit_bytes is None else limit_bytes
-    measured = df.select(F.sum(_row_bytes(df.schema)).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if (measured or 0) <= limit else df
+    folder = scratch_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Users, songs, likes and requests derived from the shop tables used for checks and timing.
 
 Every input row is used: customers and suppliers are users (suppliers like nothing), parts are
-songs, ordered parts are likes, events are requests.
+songs, ordered parts are likes, events are requests. Suppliers are also songs that can be searched
+for but are not stored.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 # Columns read from each table; giving them saves a job per table that would infer them.
 TABLES = {
     "customer": "c_custkey long, c_name string",
-    "supplier": "s_suppkey long, s_name string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
     "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
-    "lineitem": "l_orderkey long, l_partkey long",
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, props string",
     "documents": "doc_id long, text string, lang string, source string",
 }
@@ -64,7 +65,7 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
     """One request per event, from the stored events or from a given (streaming) frame.
 
     Views hold a noisy and a clean spelling, clicks a bare title, sign-ups come from unknown
-    users, errors have nothing to search for and may have an overlong user id, purchases repeat
+    users and name a song that is not stored, errors have nothing to search for and may have an overlong user id, purchases repeat
     a name 0 to 99 times and may have an overlong genre.
     """
     kind, k = F.col("event_type"), F.col("k")
@@ -75,7 +76,7 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
     names = (
         F.when(kind == "view", F.array(F.concat(F.lit("  "), F.upper(full), F.lit("!")), full))
         .when(kind == "click", F.array(F.col("p_name"), full))
-        .when(kind == "signup", F.array(full, F.lit("No Such Song")))
+        .when(kind == "signup", F.array(full, F.lit("No Such Song"), F.col("s_name")))
         .when(kind == "error", F.array(F.lit("???"), F.lit("")))
         .otherwise(F.array_repeat(full, k))
     )
@@ -88,7 +89,10 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
     events = _table(spark, folder, "events") if events is None else events
     events = events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
     parts = _table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return events.join(parts, F.col("p_partkey") == k).select(
+    suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    named = events.join(parts, F.col("p_partkey") == _part_of(parts.count())).join(
+        suppliers, F.col("s_suppkey") == F.pmod(F.col("event_id"), F.lit(suppliers.count())))
+    return named.select(
         F.col("event_id").alias("request_id"),
         "ts",
         F.when(kind == "signup", guest).when(kind == "error", visitor).otherwise(customer).alias("user_id"),
@@ -102,14 +106,28 @@ def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
-def stored_songs(songs: DataFrame) -> DataFrame:
-    """Songs that are stored before any request; all songs can be searched for."""
-    return songs.where(F.col("updated_at") >= _ntz("2024-01-01 01:00:00"))
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """What searches find: the stored songs, and one song per supplier that is not stored."""
+    known = songs(spark, folder)
+    others = _table(spark, folder, "supplier").select(
+        (-F.col("s_suppkey") - 1).alias("id"),
+        F.concat(F.lit("x"), F.col("s_suppkey").cast("string")).alias("video_id"),
+        F.col("s_name").alias("title"),
+        F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("artist"),
+    )
+    return known.unionByName(others, allowMissingColumns=True)
+
 
+def event_likes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a like of a part by its user."""
+    events = _table(spark, folder, "events")
+    parts = _table(spark, folder, "part").count()
+    return events.select("user_id", _part_of(parts).alias("song_id"), F.col("ts").alias("created_at"))
 
-def stored_likes(likes: DataFrame, stored: DataFrame) -> DataFrame:
-    return likes.join(stored.select(F.col("id").alias("song_id")), "song_id", "left_semi").select(
-        "user_id", "song_id", "created_at")
+
+def _part_of(parts: int) -> Column:
+    """The part an event is about, spread over all parts."""
+    return F.pmod(F.col("event_id") * 7919, F.lit(parts))
 
 
 def line_likes(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,9 +176,10 @@ def untidy_songs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def untidy_likes(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines read as likes of orders: repeated pairs, and keys without a row."""
-    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    """Order lines read as likes of orders: repeated pairs, null songs, and keys without a row."""
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
-        F.col("o_orderkey").alias("user_id"), F.col("o_custkey").alias("song_id"),
+        F.col("o_orderkey").alias("user_id"),
+        F.when(F.coalesce("l_linenumber", F.lit(0)) <= 6, F.col("o_custkey")).alias("song_id"),
         F.when(F.col("l_partkey").isNotNull(), F.col("o_orderdate")).alias("created_at"))
