@@ -228,7 +228,7 @@ TYPED = {
     "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
     "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
     "collaborative_or_popular": ("rank", "score"), "suggest": ("rank", "score"), "suggest_combined": ("rank", "score"),
-    "process_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
+    "process_requests_suggestions": ("rank", "score"), "commit_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
     "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",),
     "reusable_searches": ("position",),
 }
@@ -441,6 +441,8 @@ def build() -> dict[str, str]:
     sql["stream_likes"] = with_ctes(*requests, final="""
         SELECT user_id, song_id, created_at FROM st_likes UNION ALL
         SELECT user_id, song_id, first_ts FROM new_likes""")
+    sql["commit_requests_likes"] = sql["stream_likes"]
+    sql["commit_requests_suggestions"] = sql["process_requests_suggestions"]
     sql["collaborative_suggestions_spread"] = sql["collaborative_suggestions"]
     sql["content_suggestions_spread"] = sql["content_suggestions"]
     return {name: with_types(text, TYPED.get(name, ())) for name, text in sql.items()}

@@ -12,6 +12,7 @@ from likerec.session import materialize, scratch_folder, shuffle_width, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
 from likerec.streaming.likes import LikeStore
+from likerec.streaming.likes import commit_requests as commit
 from likerec.streaming.likes import stream_likes as run_stream
 from likerec.streaming.likes import stream_recent_likes as read_stream_snapshots
 
@@ -185,13 +186,13 @@ def song_idf(spark, folder):
 
 def document_tfidf(spark, folder):
     docs = Inputs(spark, folder).documents
-    tf = textvectors.document_terms(docs)
+    tf = materialize(textvectors.document_terms(docs))
     result = textvectors.tfidf(tf, materialize(textvectors.idf(tf, docs.count())))
     return result.withColumn("weight", F.round("weight", 6))
 
 
 def _song_vectors(songs):
-    tf = content.song_term_counts(songs)
+    tf = materialize(content.song_term_counts(songs))
     return materialize(textvectors.tfidf(tf, materialize(textvectors.idf(tf, songs.count()))))
 
 
@@ -394,6 +395,25 @@ def _streamed(spark, folder):
     return store
 
 
+def _committed(spark, folder):
+    """A batch of all requests, run twice under the same number."""
+    t = Inputs(spark, folder)
+    store = LikeStore(spark, f"{scratch_folder(spark, 'batch')}/tables")
+    store.start(t.users, t.songs, t.likes)
+    requests = t.request_table
+    commit(store, requests, t.catalog, 0)
+    return store, commit(store, requests, t.catalog, 0)
+
+
+def commit_requests_likes(spark, folder):
+    """The likes that the batch left."""
+    return _committed(spark, folder)[0].read("likes").drop("user_bucket")
+
+
+def commit_requests_suggestions(spark, folder):
+    return _rounded(_committed(spark, folder)[1])
+
+
 def stream_likes(spark, folder):
     return _streamed(spark, folder).read("likes").drop("user_bucket")
 

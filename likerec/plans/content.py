@@ -28,9 +28,7 @@ from pyspark.sql.window import Window
 
 from likerec.functions.text import feature_text
 from likerec.operators.lookup import candidate_songs
-from likerec.operators.profiles import (
-    best_first, cosine_scores, rank_unliked, user_profiles, zero_score_fill,
-)
+from likerec.operators.profiles import best_first, zero_score_fill
 from likerec.operators.textvectors import document_terms, idf, tfidf
 from likerec.session import broadcast_rows, materialize, shuffle_width
 
@@ -193,17 +191,58 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
 
 def _shared_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode: str,
                    stop_words: Sequence[str] | None) -> DataFrame:
-    """Variant with one idf for everybody, from the candidates alone."""
+    """Variant with one idf for everybody, from the candidates alone.
+
+    Songs carry their unit vectors packed in a row; likes are shuffled once, by user, and profile,
+    scores and ranking stay in that partitioning.
+    """
     chosen = materialize(candidate_songs(songs, pool))
-    history = likes.select("user_id", "song_id")
-    candidate_tf = song_term_counts(chosen, mode, stop_words)
-    term_idf = materialize(idf(candidate_tf, chosen.count()))
-    candidate_vectors = materialize(tfidf(candidate_tf, term_idf))
-    vectors = materialize(tfidf(song_term_counts(songs, mode, stop_words), term_idf))
-    scores = cosine_scores(user_profiles(history, vectors), candidate_vectors)
-    if candidate_vectors.isEmpty():
-        history = history.limit(0)
-    return rank_unliked(scores, history, chosen, k)
+    ids = chosen.select(F.col("id").alias("song_id"))
+    size = chosen.count()
+    tf = materialize(song_term_counts(songs, mode, stop_words))
+    term_idf = materialize(idf(tf.join(ids.select(F.col("song_id").alias("doc_id")), "doc_id", "left_semi"), size))
+    weights = tfidf(tf, term_idf).select(F.col("doc_id").alias("song_id"), "term", "weight")
+    marks = ids.select("song_id", _own_term("song_id").alias("term"), F.lit(0.0).alias("weight"))
+    vectors = materialize(
+        weights.unionByName(marks).groupBy("song_id").agg(F.collect_list(F.struct("term", "weight")).alias("entries")))
+    postings = materialize(
+        vectors.join(ids, "song_id", "left_semi").select("song_id", F.explode("entries").alias("e"))
+        .select("song_id", "e.term", F.col("e.weight").alias("c")))
+
+    pairs = likes.select("user_id", "song_id")
+    n_users = pairs.select("user_id").distinct().count()
+    packed = pairs.join(vectors, "song_id", "left").repartition(shuffle_width(likes.sparkSession, n_users * size), "user_id")
+    by_user = Window.partitionBy("user_id")
+    profile = (
+        packed.withColumn("h", F.count(F.lit(1)).over(by_user))
+        .select("user_id", "h", F.explode("entries").alias("e"))
+        .groupBy("user_id", "h", "e.term").agg(F.sum("e.weight").alias("total"))
+        .select("user_id", "term", (F.col("total") / F.col("h")).alias("p"))
+        .withColumn("norm", F.sqrt(F.sum(F.col("p") * F.col("p")).over(by_user)))
+    )
+    unit = F.when(F.col("norm") > 0, F.col("p") / F.col("norm")).otherwise(0.0)
+    scores = (
+        profile.join(postings, "term").groupBy("user_id", "song_id")
+        .agg(F.sum(unit * F.col("c")).alias("score"), F.bool_or(F.col("c") == 0).alias("liked"))
+    )
+    users = pairs.select("user_id").distinct()
+    if postings.where(F.col("c") > 0).isEmpty():
+        users = users.limit(0)
+    liked = pairs.join(ids, "song_id", "left_semi")
+    return _best_unliked(scores, users, liked, ids, k)
+
+
+def _best_unliked(scores: DataFrame, users: DataFrame, liked: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of the scored candidates (user_id, song_id, score, liked), filled up with unscored ones."""
+    # Liked candidates sort last: they only show up in lists that are too short.
+    order = Window.partitionBy("user_id").orderBy("liked", *best_first())
+    top = materialize(
+        scores.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .where(~F.col("liked") & (F.col("score") > 0))
+        .select("user_id", "song_id", "score", "rank")
+    )
+    return top.unionByName(zero_score_fill(top, users, liked, ids, k))
 
 
 def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: int = 1000,
@@ -237,19 +276,10 @@ def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode
     candidates = prepare_candidates(songs, pool, mode, stop_words)
     vectors = materialize(song_vectors(songs, candidates, mode, stop_words))
     profiles = weighted_profiles(likes, vectors, candidates, heavy_history)
-    # Liked candidates sort last: they only show up in lists that are too short.
-    order = Window.partitionBy("user_id").orderBy("liked", *best_first())
-    top = materialize(
-        content_scores(profiles, candidates)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .where(~F.col("liked") & (F.col("score") > 0))
-        .select("user_id", "song_id", "score", "rank")
-    )
     pairs = likes.select("user_id", "song_id")
     users = pairs.select("user_id").distinct()
     if not candidates.has_terms:  # then a vocabulary can only come from the user's own songs
         worded = vectors.where(F.exists("entries", lambda e: e["tf"] > 0)).select("song_id")
         users = pairs.join(worded, "song_id", "left_semi").select("user_id").distinct()
     liked = pairs.join(broadcast_rows(candidates.ids, candidates.size), "song_id", "left_semi")
-    return top.unionByName(zero_score_fill(top, users, liked, candidates.ids, k))
+    return _best_unliked(content_scores(profiles, candidates), users, liked, candidates.ids, k)

@@ -78,7 +78,7 @@ def liked_songs_as_served(wanted: DataFrame, snapshot: DataFrame, users: DataFra
     return cached.unionByName(full)
 
 
-def reusable_searches(searches: DataFrame, lookups: DataFrame, bucket: str = "hour") -> DataFrame:
+def reusable_searches(searches: DataFrame, lookups: DataFrame, bucket: str = "minute") -> DataFrame:
     """Each search with the earlier lookup that can answer it, if any.
 
     ``searches`` is (request_id, position, ts, query), ``lookups`` (query, ts, hit). The latest
