@@ -42,5 +42,63 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy,
 FROM documents d JOIN copies c ON c.doc_id = d.doc_id"""
 
 
+OP6 = """WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)"""
+
+# The prior's weight of one rule, from the hosts' counts.
+PRIOR = """SELECT sum({f}) / sum(n) AS p, CASE
+    WHEN sum({f}) = 0 OR sum({f}) = sum(n) OR count(*) < 2
+      OR sum(n) - sum(n * n) / sum(n) - (count(*) - 1) <= 0 THEN 10000
+    WHEN ((sum({f} * {f} / n) - sum({f}) * sum({f}) / sum(n)) / (sum({f}) / sum(n) * (1 - sum({f}) / sum(n))) - (count(*) - 1)) <= 0 THEN 10000
+    ELSE least(10000, greatest(1, (sum(n) - sum(n * n) / sum(n) - (count(*) - 1))
+      / ((sum({f} * {f} / n) - sum({f}) * sum({f}) / sum(n)) / (sum({f}) / sum(n) * (1 - sum({f}) / sum(n))) - (count(*) - 1)) - 1)) END AS m
+  FROM hosts"""
+
+OP7 = f"""WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM texts)),
+repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS place FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS times FROM windows) WHERE times > 1)
+  GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM split WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, source, len(words) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN dup d USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 10 AS too_short, 100 * n_repeat_words > 20 * n_words AS too_repetitive FROM measured),
+hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE too_short))::DOUBLE AS f1,
+         (count(*) FILTER (WHERE too_repetitive))::DOUBLE AS f2 FROM judged GROUP BY source),
+prior1 AS ({PRIOR.format(f='f1')}),
+prior2 AS ({PRIOR.format(f='f2')}),
+verdicts AS (
+  SELECT source, greatest((f1 + a.p * a.m) / (n + a.m), (f2 + b.p * b.m) / (n + b.m)) > 0.5 AS host_failed
+  FROM hosts, prior1 a, prior2 b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, too_short OR too_repetitive AS base_failed,
+       NOT (too_short OR too_repetitive) AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON v.source IS NOT DISTINCT FROM j.source"""
+
+
 def build() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_mixing": OP3}
+    return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7}
