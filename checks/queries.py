@@ -117,9 +117,9 @@ def collaborative_suggestions(spark, folder):
 
 
 def collaborative_suggestions_spread(spark, folder):
-    """The way taken for users with very many similar users, for most users here."""
+    """With the fans of every song cut into many blocks."""
     t = Inputs(spark, folder)
-    return colikes.collaborative_suggestions(t.like_table, t.songs, busy_rows=2000)
+    return colikes.collaborative_suggestions(t.like_table, t.songs, block_fans=8)
 
 
 def table_append_and_read(spark, folder):

@@ -77,11 +77,20 @@ def test_a_song_everybody_likes_generates_no_pairs(spark):
     assert colikes.similar_users(frame(spark, likes)).count() == 0
 
 
-@pytest.mark.parametrize("busy_rows", [10**9, 60, 0])
-def test_collaborative_matches_brute_force(spark, busy_rows, monkeypatch):
+@pytest.mark.parametrize("block_fans", [10**9, 4])
+def test_three_songs_that_everybody_likes(spark, block_fans):
+    """All users are similar; every pair is counted once, in cells of two blocks of fans."""
+    likes = {(u, s) for u in range(40) for s in range(3)} | {(u, 10 + u % 7) for u in range(40)}
+    found = colikes.similar_users(frame(spark, likes), block_fans=block_fans)
+    expected = sorted([(u, v, n) for (u, v), n in brute_similar(likes, 2).items()], key=repr)
+    assert rows(found, "user_id", "similar_user_id", "n_common") == expected
+
+
+@pytest.mark.parametrize("block_fans", [10**9, 5, 1])
+def test_collaborative_matches_brute_force(spark, block_fans, monkeypatch):
     monkeypatch.setattr(colikes, "PACKED_SONGS", 3)
     likes = make_likes(5)
-    found = colikes.collaborative_suggestions(frame(spark, likes), song_frame(spark), k=4, busy_rows=busy_rows)
+    found = colikes.collaborative_suggestions(frame(spark, likes), song_frame(spark), k=4, block_fans=block_fans)
     assert rows(found, "user_id", "rank", "song_id", "n_users") == sorted(brute_top(likes, 2, 4), key=repr)
 
 
