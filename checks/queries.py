@@ -407,7 +407,7 @@ def _committed(spark, folder):
 
 def commit_requests_likes(spark, folder):
     """The likes that the batch left."""
-    return _committed(spark, folder)[0].read("likes").drop("user_bucket")
+    return _committed(spark, folder)[0].read("likes")
 
 
 def commit_requests_suggestions(spark, folder):
@@ -415,7 +415,7 @@ def commit_requests_suggestions(spark, folder):
 
 
 def stream_likes(spark, folder):
-    return _streamed(spark, folder).read("likes").drop("user_bucket")
+    return _streamed(spark, folder).read("likes")
 
 
 def stream_recent_likes(spark, folder):

@@ -13,10 +13,13 @@ def _moment(as_of: str | Column) -> Column:
     return (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp_ntz")
 
 
-def new_users(users: DataFrame, requests: DataFrame, as_of: str | Column) -> DataFrame:
-    """Rows for requesting users that are not stored yet, numbered in the order of their id."""
+def new_users(users: DataFrame, requests: DataFrame, as_of: str | Column, last_id: DataFrame | None = None) -> DataFrame:
+    """Rows for requesting users that are not stored yet, numbered in the order of their id.
+
+    Numbers follow the largest ``id`` of ``last_id``, or else of ``users``.
+    """
     absent = requests.select("user_id").distinct().join(users.select("user_id"), "user_id", "left_anti")
-    return with_new_ids(absent, users, "user_id").select(
+    return with_new_ids(absent, users if last_id is None else last_id, "user_id").select(
         "id", "user_id",
         F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("email"),
@@ -30,7 +33,7 @@ def upsert_users(users: DataFrame, requests: DataFrame, as_of: str | Column) ->
     return users.unionByName(new_users(users, requests, as_of))
 
 
-def new_songs(songs: DataFrame, resolved: DataFrame, as_of: str | Column) -> DataFrame:
+def new_songs(songs: DataFrame, resolved: DataFrame, as_of: str | Column, last_id: DataFrame | None = None) -> DataFrame:
     """Rows for resolved songs whose video id is not stored yet. Genre and tags stay null.
 
     Of several descriptions of one video the smallest (title, artist) is kept.
@@ -41,7 +44,7 @@ def new_songs(songs: DataFrame, resolved: DataFrame, as_of: str | Column) -> Dat
         .join(songs.select("video_id"), "video_id", "left_anti")
         .select("video_id", "d.title", "d.artist")
     )
-    return with_new_ids(absent, songs, "video_id").select(
+    return with_new_ids(absent, songs if last_id is None else last_id, "video_id").select(
         "id", "video_id", "title", "artist",
         F.lit(None).cast("string").alias("genre"),
         F.lit(None).cast("string").alias("tags"),

@@ -112,15 +112,19 @@ class Processed:
 
 
 def store_requests(requests: DataFrame, users: DataFrame, songs: DataFrame, likes: DataFrame, catalog: DataFrame,
-                   as_of: str | Column, like_time: str | Column | None = None) -> Processed:
+                   as_of: str | Column, like_time: str | Column | None = None, resolved: DataFrame | None = None,
+                   last_ids: dict[str, DataFrame] | None = None) -> Processed:
     """Validate, resolve, and work out the users, songs and likes to add.
 
-    Only the rows to add are materialized; the stored tables are scanned.
+    Only the rows to add are materialized; the stored tables are scanned. They may be parts that hold all keys of
+    the requests; new ids then follow ``last_ids`` (``id`` of users and of songs). ``resolved`` saves resolving again.
     """
     accepted, rejected = validate_requests(requests)
-    resolved = materialize(resolve_songs(explode_requests(accepted), catalog))
-    songs_to_add = materialize(new_songs(songs, resolved, as_of))
-    users_to_add = materialize(new_users(users, accepted, as_of))
+    if resolved is None:
+        resolved = materialize(resolve_songs(explode_requests(accepted), catalog))
+    last_ids = last_ids or {}
+    songs_to_add = materialize(new_songs(songs, resolved, as_of, last_ids.get("songs")))
+    users_to_add = materialize(new_users(users, accepted, as_of, last_ids.get("users")))
     song_ids = songs.select("id", "video_id").unionByName(songs_to_add.select("id", "video_id"))
     user_ids = users.select("id", "user_id").unionByName(users_to_add.select("id", "user_id"))
     pairs = (

@@ -60,7 +60,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     batch = hybrid.store_requests(read_requests(spark, source), users, stored, likes, songs, "2024-01-02")
     expected = natural(users.unionByName(batch.new_users), stored.unionByName(batch.new_songs),
                        likes.unionByName(batch.new_likes.select("user_id", "song_id", "created_at")))
-    streamed = natural(store.read("users"), store.read("songs"), store.read("likes").drop("user_bucket"))
+    streamed = natural(store.read("users"), store.read("songs"), store.read("likes"))
     assert streamed == expected and len(streamed) == 6
     for name in ("users", "songs"):
         ids = [r[0] for r in store.read(name).select("id").collect()]
@@ -68,7 +68,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
 
     replay = read_requests(spark, source).where("request_id in (3, 4)")
     apply_requests(store, songs)(replay, 1)
-    assert natural(store.read("users"), store.read("songs"), store.read("likes").drop("user_bucket")) == expected
+    assert natural(store.read("users"), store.read("songs"), store.read("likes")) == expected
 
     accepted, _ = validate_requests(read_requests(spark, source))
     all_songs = store.read("songs")
@@ -79,6 +79,46 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert stream_recent_likes(store, "2024-01-01 03:00:00").count() == 0
 
 
+def test_snapshots_do_not_depend_on_micro_batches(spark, tmp_path):
+    users, songs, likes = tables(spark)
+    requests = read_requests(spark, write_batches(tmp_path / "in"))
+    stores = []
+    for number, cuts in enumerate(([(1, 7)], [(1, 2), (3, 4), (5, 7)])):
+        store = LikeStore(spark, str(tmp_path / f"store{number}"), buckets=4)
+        store.start(users, songs, likes)
+        for batch_id, (first, last) in enumerate(cuts):
+            apply_requests(store, songs)(requests.where(F.col("request_id").between(first, last)), batch_id)
+        stores.append(store)
+    for moment in ("2024-01-01 00:00:30", "2024-01-01 00:01:00", "2024-01-01 00:03:30", "2024-01-01 00:59:00"):
+        one, several = (rows(stream_recent_likes(s, moment), "user_id", "song_ids", "ts") for s in stores)
+        assert one == several
+        assert len(one) == len({r["user_id"] for b in BATCHES for r in b if r["ts"] <= moment.replace(" ", "T")})
+
+
+def test_merging_bounds_what_a_batch_reads(spark, tmp_path):
+    users, songs, likes = tables(spark)
+    requests = read_requests(spark, write_batches(tmp_path / "in"))
+    store = LikeStore(spark, str(tmp_path / "store"), buckets=2)
+    store.start(users, songs, likes)
+    apply = apply_requests(store, songs)
+    apply(requests.where("request_id <= 2"), 0)
+    second = {name: len(store.read(name, 1).inputFiles()) for name in ("users", "songs", "likes", "ids")}
+    for batch_id in range(1, 6):
+        apply(requests.where(F.col("request_id") == batch_id + 2), batch_id)
+    before = {name: rows(store.read(name), *store.read(name).columns) for name in second}
+    store.merge(5)
+    assert {name: len(store.read(name, 6).inputFiles()) <= n for name, n in second.items()} == dict.fromkeys(second, True)
+    for name in ("users", "songs", "likes"):
+        assert rows(store.read(name), *store.read(name).columns) == before[name]
+    apply(requests.where("request_id <= 2"), 6)
+    assert rows(store.read("likes"), *store.read("likes").columns) == before["likes"]
+    try:
+        store.read("likes", 3)
+        raise AssertionError("a merged batch was read as of its past")
+    except ValueError:
+        pass
+
+
 def test_tables_round_trip(spark, tmp_path):
     users, songs, likes = tables(spark)
     for name, rows_ in (("users", users), ("songs", songs), ("likes", likes)):
