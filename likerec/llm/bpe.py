@@ -35,7 +35,7 @@ SAFE = regex.compile(r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s
 
 
 class TreeEncoder:
-    """Encodes and decodes by the ranks of one vocabulary, as a tree over the text."""
+    """Encodes by the ranks of one vocabulary, as a tree over the text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS):
         import tiktoken
@@ -113,19 +113,30 @@ class TreeEncoder:
         """Whether two tokens are what their joined bytes encode to."""
         return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= LEAF_IDS:
-            return self.leaf.decode_bytes(ids.tolist())
-        middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+
+def decode(ids: np.ndarray, bytes_of: dict[int, bytes]) -> bytes:
+    """The bytes of token ids, by halves."""
+    if len(ids) <= LEAF_IDS:
+        return b"".join([bytes_of[k] for k in ids.tolist()])
+    middle = len(ids) // 2
+    return decode(ids[:middle], bytes_of) + decode(ids[middle:], bytes_of)
 
 
 @lru_cache(maxsize=2)
-def load(ranks_path: str, pattern: str) -> TreeEncoder:
-    """The encoder of a file with a token in base64 and its rank per line."""
+def load_ranks(ranks_path: str) -> dict[bytes, int]:
+    """The ranks of a file with a token in base64 and its rank per line."""
     with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return TreeEncoder(ranks, pattern)
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=2)
+def load_tokens(ranks_path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(ranks_path).items()}
+
+
+@lru_cache(maxsize=2)
+def load(ranks_path: str, pattern: str) -> TreeEncoder:
+    return TreeEncoder(load_ranks(ranks_path), pattern)
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -145,13 +156,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return with_arrow_columns(docs.withColumn("text", F.col("text").cast("string")), outputs, compute)
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes that ``ids`` stand for; null ids decode as none."""
     outputs = [T.StructField("decoded", T.BinaryType())]
     encoded = tidy(encoded, ["ids"], ["decoded"])
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder = load(ranks_path, pattern)
-        return [pa.array([encoder.decode(np.frombuffer(ids.as_py() or b"", "<u4")) for ids in batch.column("ids")], pa.binary())]
+        bytes_of = load_tokens(ranks_path)
+        return [pa.array([decode(np.frombuffer(ids.as_py() or b"", "<u4"), bytes_of) for ids in batch.column("ids")], pa.binary())]
 
     return with_arrow_columns(encoded, outputs, compute)

@@ -15,16 +15,25 @@ from likerec.session import scratch_folder
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+# What a Python worker is sent at a time, so that its memory stays bounded whatever the texts' lengths.
+ARROW_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def tidy(df: DataFrame, needed: list[str], outputs: list[str]) -> DataFrame:
-    """``df`` without columns whose names clash, so that operators can name columns freely.
+    """``df`` without columns whose names clash, so that operators can name columns freely; sets the batch sizes.
 
     Columns in ``needed`` stay. Of the others, those go that have the name of an output, of a needed
     column in another case, of an earlier column, or of an internal one (``_llm...``).
     """
+    for key, value in ARROW_SETTINGS.items():
+        df.sparkSession.conf.set(key, value)
     missing = [name for name in needed if name not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")

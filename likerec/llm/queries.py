@@ -43,7 +43,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = (_vocabulary("byte_bpe_50k.tiktoken"), _splitting_pattern())
     encoded = bpe.encode_texts(table(spark, folder, "documents"), *vocabulary).select("doc_id", "n_tokens", "ids")
-    decoded = bpe.decode_ids(encoded, *vocabulary)
+    decoded = bpe.decode_ids(encoded, vocabulary[0])
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

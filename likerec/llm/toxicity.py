@@ -189,11 +189,11 @@ def score_toxicity(docs: DataFrame, model: SentenceModel) -> DataFrame:
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         scores, spans = [], []
-        for text in batch.column("_llm_text"):
+        for text in batch.column("text"):
             at, logits = shared.value.sentence_logits(text.as_py() or "", known)
             scores.append(noisy_or(logits))
             spans.append([{"start": s, "end": e, "probability": 1 / (1 + math.exp(-min(z, 500)))}
                           for (s, e), z in zip(at, logits) if z >= math.log(OFFENDING / (1 - OFFENDING))])
         return [pa.array(scores, pa.float64()), pa.array(spans, arrow)]
 
-    return with_arrow_columns(docs.withColumn("_llm_text", F.col("text").cast("string")), outputs, compute, "_llm_text")
+    return with_arrow_columns(docs.withColumn("text", F.col("text").cast("string")), outputs, compute)

@@ -60,7 +60,7 @@ def test_tree_on_edge_texts(encoders, text):
     tree, plain = encoders
     ids = tree.encode(text)
     assert ids == plain.leaf.encode_ordinary(text)
-    assert tree.decode(np.array(ids, "<u4")) == text.encode()
+    assert bpe.decode(np.array(ids, "<u4"), tree.bytes_of) == text.encode()
 
 
 def test_encode_and_decode_tables(spark, encoders):
@@ -71,6 +71,6 @@ def test_encode_and_decode_tables(spark, encoders):
         ids = library.encode_ordinary(r[1] or "")
         want[(r[0], len(ids), np.array(ids, "<u4").tobytes(), (r[1] or "").encode())] += 1
     vocabulary = (RANKS, public_tokenizers.PATTERN)
-    got = bpe.decode_ids(bpe.encode_texts(edge.documents(spark, 6), *vocabulary), *vocabulary)
+    got = bpe.decode_ids(bpe.encode_texts(edge.documents(spark, 6), *vocabulary), RANKS)
     assert Counter((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in got.select("doc_id", "n_tokens", "ids", "decoded").collect()) == want
-    assert bpe.decode_ids(bpe.encode_texts(edge.empty(spark), *vocabulary), *vocabulary).count() == 0
+    assert bpe.decode_ids(bpe.encode_texts(edge.empty(spark), *vocabulary), RANKS).count() == 0
