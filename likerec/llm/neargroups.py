@@ -28,7 +28,10 @@ WEAK_BITS, INDICES = 6, 3
 # Fingerprints of texts of similarity 0.8 differ in 18 bits on average and hardly ever in more than these.
 MOST_BITS = 34
 BLOCK_ROWS = 2048
-COMPARED_AT_ONCE = 1 << 20
+COMPARED_AT_ONCE = 1 << 18
+# Pairs are taken up to these differing bits in turn, and listed in parts.
+STEPS = (6, 12, 18, 26, MOST_BITS)
+LISTED_AT_ONCE = 1 << 14
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -123,23 +126,25 @@ def shortest_links(a: tuple, b: tuple | None) -> list[tuple[int, int]]:
     step = max(1, COMPARED_AT_ONCE // len(node_b))
     for at in range(0, len(node_a), step):
         rows = slice(at, at + step)
+        if label_b[0] == label_b.max() == label_a[rows].min() == label_a[rows].max() == label_b.min():
+            continue  # all of these are joined already
         bits = np.bitwise_count(hi_a[rows, None] ^ hi_b[None, :]) + np.bitwise_count(lo_a[rows, None] ^ lo_b[None, :])
-        x, y = np.nonzero(bits <= MOST_BITS)
-        order = np.argsort(bits[x, y], kind="stable")
-        x, y = x[order] + at, y[order]
-        while True:
-            apart = label_a[x] != label_b[y]
-            x, y = x[apart], y[apart]
-            if not len(x):
-                break
-            low, high = np.minimum(label_a[x], label_b[y]), np.maximum(label_a[x], label_b[y])
-            gone, first = np.unique(high, return_index=True)
-            made += zip(node_a[x[first]].tolist(), node_b[y[first]].tolist())
-            goes = np.arange(max(label_a.max(), label_b.max()) + 1)
-            for k, into in zip(gone.tolist(), low[first].tolist()):
-                goes[k] = goes[into]
-            label_a = goes[label_a]
-            label_b = label_a if b is None else goes[label_b]
+        for most in STEPS if np.count_nonzero(bits <= MOST_BITS) > LISTED_AT_ONCE else (MOST_BITS,):
+            # Of a crowd, pairs that are joined already drop out before they are listed.
+            while True:
+                x, y = np.nonzero((bits <= most) & (label_a[rows, None] != label_b[None, :]))
+                if not len(x):
+                    break
+                shortest = np.argsort(bits[x, y], kind="stable")[:LISTED_AT_ONCE]
+                x, y = x[shortest] + at, y[shortest]
+                low, high = np.minimum(label_a[x], label_b[y]), np.maximum(label_a[x], label_b[y])
+                gone, first = np.unique(high, return_index=True)
+                made += zip(node_a[x[first]].tolist(), node_b[y[first]].tolist())
+                goes = np.arange(max(label_a.max(), label_b.max()) + 1)
+                for k, into in zip(gone.tolist(), low[first].tolist()):
+                    goes[k] = goes[into]
+                label_a = goes[label_a]
+                label_b = label_a if b is None else goes[label_b]
     return made
 
 
@@ -153,7 +158,13 @@ def _link_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(key):
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
             ends = np.r_[starts[1:], len(key)]
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            # Most keys bring two texts together by chance; these pairs are compared all at once.
+            two = starts[(ends - starts == 2) & (first[starts] == second[starts])]
+            bits = sum(np.bitwise_count((half[two] ^ half[two + 1]).view(np.uint64)).astype(np.int64) for half in (hi, lo))
+            two = two[bits <= MOST_BITS]
+            made += zip(node[two].tolist(), node[two + 1].tolist())
+            more = (ends - starts > 2) | ((ends - starts == 2) & (first[starts] != second[starts]))
+            for s, e in zip(starts[more].tolist(), ends[more].tolist()):
                 columns = node[s:e], hi[s:e].view(np.uint64), lo[s:e].view(np.uint64)
                 if first[s] == second[s]:
                     made += shortest_links(columns, None)
