@@ -122,7 +122,6 @@ def decode(ids: np.ndarray, bytes_of: dict[int, bytes]) -> bytes:
     return decode(ids[:middle], bytes_of) + decode(ids[middle:], bytes_of)
 
 
-@lru_cache(maxsize=2)
 def load_ranks(ranks_path: str) -> dict[bytes, int]:
     """The ranks of a file with a token in base64 and its rank per line."""
     with open(ranks_path, "rb") as lines:
@@ -134,7 +133,6 @@ def load_tokens(ranks_path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(ranks_path).items()}
 
 
-@lru_cache(maxsize=2)
 def load(ranks_path: str, pattern: str) -> TreeEncoder:
     return TreeEncoder(load_ranks(ranks_path), pattern)
 
@@ -148,8 +146,12 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     outputs = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     docs = tidy(docs, ["text"], [f.name for f in outputs])
 
+    held: list[TreeEncoder] = []  # of one task; it goes with it
+
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder = load(ranks_path, pattern)
+        if not held:
+            held.append(load(ranks_path, pattern))
+        encoder = held[0]
         packed = [np.array(encoder.encode(text.as_py() or ""), dtype="<u4").tobytes() for text in batch.column("text")]
         return [pa.array([len(ids) // 4 for ids in packed], pa.int64()), pa.array(packed, pa.binary())]
 
