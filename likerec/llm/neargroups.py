@@ -5,7 +5,10 @@ where the bits were close to a tie. So fingerprints of 128 bits keep the margin
 each of five segments of 23 bits is decoded after flipping its weakest bits in all combinations, and the few
 codewords that are cheapest to reach, in margins, are its indices. Any two segments with a common index make a key
 (pigeonhole: with five segments, two are enough). Of the texts that meet under a key those with few differing bits
-are linked by a spanning forest of shortest links, and each link is verified by the exact Jaccard similarity.
+are linked by a spanning forest of short links, and each link is verified by the exact Jaccard similarity.
+
+Fingerprints unite texts that are not similar, so a forest may lack a similar pair whose texts met through others.
+Where a link fails, all pairs under all keys that lie between different verified groups are compared exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ COMPARED_AT_ONCE = 1 << 18
 # Pairs are taken up to these differing bits in turn, and listed in parts.
 STEPS = (6, 12, 18, 26, MOST_BITS)
 LISTED_AT_ONCE = 1 << 14
+# Rows of a block whose shingles are held at once.
+SET_ROWS = 512
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -114,7 +119,7 @@ def _key_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shortest_links(a: tuple, b: tuple | None) -> list[tuple[int, int]]:
-    """Links of a spanning forest of near pairs, in one block or between two; shorter pairs are taken first.
+    """Links of a spanning forest of near pairs, in one block or between two; of some rows shorter pairs come first.
 
     A block is its nodes and both halves of their fingerprints.
     """
@@ -189,6 +194,150 @@ def _link_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links(*kept)
 
 
+def _cells(source: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[pa.Table]:
+    """The rows of each cell in turn; they are sorted by cell and may span batches."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(name).to_numpy() for name in cell]
+        new = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for s, e in zip(starts, [*starts[1:], batch.num_rows]):
+            name = tuple(int(column[s]) for column in columns)
+            if name != current and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = name
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _first_keys(index_x: np.ndarray, index_y: np.ndarray) -> np.ndarray:
+    """The least key that each pair of texts has in common; -1 for none."""
+    least = np.full((len(index_x), SEGMENTS), 1 << 12, np.int64)
+    for k in range(INDICES):
+        own = index_x[:, :, k]
+        both = (own >= 0) & (own[:, :, None] == index_y).any(axis=2)
+        least = np.where(both, np.minimum(least, own), least)
+    keys = np.full(len(index_x), -1, np.int64)
+    for number, (a, b) in reversed(list(enumerate(combinations(range(SEGMENTS), 2)))):
+        shared = (least[:, a] < 1 << 12) & (least[:, b] < 1 << 12)
+        keys = np.where(shared, (number << 24) | (least[:, a] << 12) | least[:, b], keys)
+    return keys
+
+
+def _open_pairs(key: int, x: tuple, y: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different groups whose first common key this is, in parts: the places of their texts.
+
+    A side is its groups, both halves of its fingerprints, and indices.
+    """
+    label_x, hi_x, lo_x, index_x = x
+    label_y, hi_y, lo_y, index_y = y
+    step = max(1, COMPARED_AT_ONCE // max(1, len(label_y)))
+    for at in range(0, len(label_x), step):
+        rows = slice(at, at + step)
+        apart = label_x[rows, None] != label_y[None, :]
+        if not apart.any():
+            continue
+        bits = np.bitwise_count(hi_x[rows, None] ^ hi_y[None, :]) + np.bitwise_count(lo_x[rows, None] ^ lo_y[None, :])
+        i, j = np.nonzero(apart & (bits <= MOST_BITS))
+        i = i + at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for part in range(0, len(i), LISTED_AT_ONCE):
+            a, b = i[part: part + LISTED_AT_ONCE], j[part: part + LISTED_AT_ONCE]
+            here = _first_keys(index_x[a], index_y[b]) == key
+            if here.any():
+                yield a[here], b[here]
+
+
+def _side(cell: pa.Table, chosen: np.ndarray) -> tuple:
+    label, hi, lo = (cell.column(c).to_numpy()[chosen] for c in ("label", "hi", "lo"))
+    packed = b"".join(x.as_py() for x in cell.column("indices").filter(pa.array(chosen)))
+    return label, hi.view(np.uint64), lo.view(np.uint64), np.frombuffer(packed, np.int16).reshape(-1, SEGMENTS, INDICES).astype(np.int64)
+
+
+def _open_rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of open pairs, for each pair of parts of ``SET_ROWS`` rows of the cell's blocks."""
+    for cell in _cells(source, ["key", "first", "second"]):
+        key, first, second = (cell.column(c)[0].as_py() for c in ("key", "first", "second"))
+        block, node = cell.column("block").to_numpy(), cell.column("node").to_numpy()
+        sides = [block == first] if first == second else [block == first, block == second]
+        nodes = [node[chosen] for chosen in sides]
+        ends = [_side(cell, chosen) for chosen in sides]
+        found: set[tuple[int, int, int, int]] = set()
+        for a, b in _open_pairs(key, ends[0], ends[-1], first == second):
+            one, other = a // SET_ROWS, b // SET_ROWS
+            for places, side, of in ((a, 0, nodes[0]), (b, 1, nodes[-1])):
+                # Within one part there is one side.
+                sided = np.where((one == other) & (first == second), 0, side)
+                found.update(zip(one.tolist(), other.tolist(), sided.tolist(), of[places].tolist()))
+        if found:
+            rows = np.array(sorted(found), np.int64)
+            fixed = np.tile(np.array([key, first, second], np.int64), (len(rows), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in np.hstack([fixed, rows]).T], names=OPEN_CELL + ["side", "node"])
+
+
+OPEN_CELL = ["key", "first", "second", "one", "other"]
+
+
+def _found_rows(similarity: float):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of similar texts of each cell, which join all groups that have similar pairs in it."""
+        for cell in _cells(source, OPEN_CELL):
+            key, side, node = cell.column("key")[0].as_py(), cell.column("side").to_numpy(), cell.column("node").to_numpy()
+            chosen = [side == 0, side == 1] if side.any() else [side == 0]
+            nodes = [node[c] for c in chosen]
+            ends = [_side(cell, c) for c in chosen]
+            shingles, owner = [], []
+            for value in cell.column("shingles"):
+                shingles.append(np.frombuffer(value.as_py(), np.uint64))
+            sizes = np.array([len(x) for x in shingles])
+            numbers = np.unique(np.concatenate(shingles), return_inverse=True)[1].astype(np.int32)
+            owner = np.split(numbers, np.cumsum(sizes)[:-1])
+            sets = [[owner[k] for k in np.flatnonzero(c).tolist()] for c in chosen]
+            counts = [sizes[c] for c in chosen]
+            marked = np.zeros(len(numbers) + 1, bool)
+            groups = {int(x): int(x) for end in ends for x in end[0].tolist()}
+
+            def group(x: int) -> int:
+                while groups[x] != x:
+                    groups[x] = x = groups[groups[x]]
+                return x
+
+            made = []
+            for a, b in _open_pairs(key, ends[0], ends[-1], len(chosen) == 1):
+                m, n = counts[0][a], counts[-1][b]
+                able = np.minimum(m, n) >= similarity * np.maximum(m, n)
+                a, b = a[able], b[able]
+                cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
+                for s, e in zip(cuts, [*cuts[1:], len(a)]):
+                    x = int(a[s])
+                    own = group(int(ends[0][0][x]))
+                    ys = [y for y in b[s:e].tolist() if group(int(ends[-1][0][y])) != own]
+                    if not ys:
+                        continue
+                    marked[sets[0][x]] = True
+                    of = counts[-1][ys]
+                    hits = np.r_[0, np.cumsum(marked[np.concatenate([sets[-1][y] for y in ys])])]
+                    stops = np.cumsum(of)
+                    common = hits[stops] - hits[stops - of]
+                    marked[sets[0][x]] = False
+                    for k in np.flatnonzero(common >= similarity * (counts[0][x] + of - common)).tolist():
+                        p, q = group(int(ends[0][0][x])), group(int(ends[-1][0][ys[k]]))
+                        if p != q:
+                            groups[max(p, q)] = min(p, q)
+                            made.append((int(nodes[0][x]), int(nodes[-1][ys[k]])))
+            pairs = np.array(made, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    return rows
+
+
 def _set_rows(words: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles as the first 8 bytes of their hashes, sorted."""
@@ -210,9 +359,8 @@ def _similar_rows(similarity: float):
     return rows
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): candidate links of ``nodes`` (node, hi, lo, indices)."""
-    keyed = nodes.select("node", "hi", "lo", "indices").mapInArrow(_key_rows, "key long, node long, hi long, lo long")
+def _in_cells(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (key, node, ...) with the cells in which the blocks of a key meet, sorted by cell."""
     hot = stash(
         keyed.groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
         .select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")),
@@ -225,9 +373,41 @@ def similar_links(nodes: DataFrame) -> DataFrame:
         keyed.join(broadcast_bounded(hot, 32), "key", "left")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("cell", F.explode(cells))
-        .select("key", "cell.first", "cell.second", "block", "node", "hi", "lo")
+        .select("key", "cell.first", "cell.second", "block", *[c for c in keyed.columns if c != "key"])
         .repartition(*cell).sortWithinPartitions(*cell)
-        .mapInArrow(_link_rows, "a long, b long").distinct()
+    )
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidate links of ``nodes`` (node, hi, lo, indices)."""
+    keyed = nodes.select("node", "hi", "lo", "indices").mapInArrow(_key_rows, "key long, node long, hi long, lo long")
+    return _in_cells(keyed).mapInArrow(_link_rows, "a long, b long").distinct()
+
+
+def hidden_links(nodes: DataFrame, links: DataFrame, verified: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b): similar pairs of different verified groups that ``links`` may lack; nothing if no link failed.
+
+    Two texts that met through others were joined by links one of which failed, so the groups of both have an end
+    of a failed link. Only texts of such groups are compared, each pair under its first common key.
+    """
+    ends = stash(links.join(verified, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-failed")
+    if ends.isEmpty():
+        return None
+    labels = component_labels(verified)
+    labelled = nodes.select("node", "hi", "lo", "indices").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    opened = stash(
+        labelled.join(labelled.join(ends, "node", "left_semi").select("label").distinct(), "label", "left_semi")
+        .select("node", "hi", "lo", "indices", "label"),
+        "near-open")
+    keyed = (
+        opened.mapInArrow(_key_rows, "key long, node long, hi long, lo long").select("key", "node")
+        .join(opened, "node").select("key", "node", "hi", "lo", "indices", "label")
+    )
+    pairs = stash(_in_cells(keyed).mapInArrow(_open_rows, ", ".join(f"{c} long" for c in [*OPEN_CELL, "side", "node"])), "near-open-pairs")
+    return (
+        pairs.join(opened, "node").join(sets, "node")
+        .repartition(*OPEN_CELL).sortWithinPartitions(*OPEN_CELL)
+        .mapInArrow(_found_rows(similarity), "a long, b long").distinct()
     )
 
 
@@ -259,12 +439,13 @@ def first_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8
     sets = stash(
         plain.join(wanted, "ref").select("node", "text").mapInArrow(_set_rows(words), "node long, shingles binary").dropDuplicates(["node"]),
         "near-shingles")
-    verified = (
+    verified = stash(
         links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
-        .select("a", "b", "one", "other").mapInArrow(_similar_rows(similarity), "a long, b long")
-    )
-    labels = component_labels(verified)
+        .select("a", "b", "one", "other").mapInArrow(_similar_rows(similarity), "a long, b long"),
+        "near-verified")
+    hidden = hidden_links(nodes, links, verified, sets, similarity)
+    labels = component_labels(verified if hidden is None else verified.unionByName(hidden))
     stay = (
         nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("keeper").alias("keeper"))
         .select(F.col("keeper.ref").alias("_llm_ref"))

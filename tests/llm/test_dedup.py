@@ -204,3 +204,26 @@ def test_groups_of_edge_cases(spark, monkeypatch, block):
     of = {plain_shingles(t) for _, t in [(r[0], r[1]) for r in rows]}
     assert all(any(len(a & b) >= 0.8 * len(a | b) for b in sets) for a in of)
     assert neargroups.first_of_each_group(edge.empty(spark)).count() == 0
+
+
+def template_crowd(seed, n, copies):
+    """Texts of one template that are not similar enough, and similar copies of some of them."""
+    rng = random.Random(seed)
+    template = edge.prose(rng, 200)
+    own = [edge.prose(rng, 35).split() for _ in range(n)]
+    for k in range(copies):
+        own.append(own[k][:-23] + edge.prose(rng, 23).split())
+    return [(k, f"{template} {' '.join(words)}", "en", "s", 1) for k, words in enumerate(own)]
+
+
+@pytest.mark.parametrize("block", [2048, 300])
+def test_copies_in_a_crowd_of_template_texts_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(neargroups, "BLOCK_ROWS", block)
+    n, copies = 1200, 120
+    rows = template_crowd(7, n, copies)
+    sets = [plain_shingles(r[1]) for r in rows]
+    assert [len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k]) for k in (n, 1)] == [True, False]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r[0] for r in neargroups.first_of_each_group(table).select("doc_id").collect()}
+    assert set(range(n)) <= got
+    assert len(got) - n <= 0.1 * copies
