@@ -7,6 +7,9 @@ of the distinct segments finds the windows that start anywhere else.
 
 Keys that gather too much text are split, again and again, by a further hash: equal windows have equal keys under
 any hash, and segments that only have a passage in common part. Equal texts are one text with a count.
+
+A passage that very many texts share keeps its windows under one key whatever the hash. The windows of keys that stay
+heavy are counted by their digests instead, a row for each, combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,7 @@ from likerec.llm.suffix import repeated_starts
 
 # A text is cut into segments in blocks of this size.
 BLOCK_BYTES = 1 << 17
-# Distinct text under one key beyond which the key is split, and how often at most.
+# Distinct text under one key beyond which the key is split, and how often before its windows are counted by digest.
 KEY_BYTES = 400_000
 SPLITS = 8
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -141,6 +144,36 @@ def _split_rows(width: int, seed: int):
     return rows
 
 
+def _window_rows(width: int):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The digest of each window of each piece, in parts of bounded size."""
+        for batch in source:
+            for ref, start, piece in zip(*[batch.column(c).to_pylist() for c in ("ref", "start", "piece")]):
+                count = len(piece) - width + 1
+                for at in range(0, count, 20_000):
+                    offsets = range(at, min(at + 20_000, count))
+                    digests = [hashlib.blake2b(piece[k: k + width], digest_size=16).digest() for k in offsets]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ref] * len(digests), pa.binary()), pa.array([start] * len(digests), pa.int64()),
+                         pa.array(offsets, pa.int64()), pa.array(digests, pa.binary())], names=["ref", "start", "at", "window"])
+    return rows
+
+
+def _repeated_windows(pieces: DataFrame, width: int) -> DataFrame:
+    """(ref, start, ranges) of ``pieces`` (ref, start, piece): their windows that are there more than once.
+
+    Equal windows have equal keys under all hashes, so all of them are in ``pieces``, each place once.
+    """
+    windows = pieces.select("ref", "start", "piece").mapInArrow(_window_rows(width), "ref binary, start long, at long, window binary")
+    repeated = windows.groupBy("window").count().where("count > 1").select("window")
+    neighbours = F.row_number().over(Window.partitionBy("ref", "start").orderBy("at"))
+    return (
+        windows.join(repeated, "window", "left_semi").select("ref", "start", "at").withColumn("run", F.col("at") - neighbours)
+        .groupBy("ref", "start", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .groupBy("ref", "start").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    )
+
+
 def _runs(starts: np.ndarray) -> list[dict[str, int]]:
     """Neighbouring starts as ranges, both ends included."""
     if not len(starts):
@@ -223,26 +256,34 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     schema = "ref binary, start long, key long, again boolean, piece binary"
     pieces = stash(one.select("ref", "text", "listed").mapInArrow(_cut_rows, schema), "repeat-pieces")
 
-    settled = None
-    for split in range(1, SPLITS + 1):
+    settled = counted = None
+    for split in range(1, SPLITS + 2):
         sizes = pieces.groupBy("key", F.md5("piece").alias("digest")).agg(F.first(F.octet_length("piece")).alias("n"))
         heavy = stash(sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > KEY_BYTES).select("key"), "repeat-heavy-keys")
         if heavy.isEmpty():
             break
         light = pieces.join(heavy, "key", "left_anti")
         settled = light if settled is None else settled.unionByName(light)
-        divided = stash(pieces.join(heavy, "key", "left_semi").mapInArrow(_split_rows(width, split), schema), "repeat-divided")
+        dense = pieces.join(heavy, "key", "left_semi")
+        if split > SPLITS:
+            counted, pieces = _repeated_windows(dense, width), None
+            break
+        divided = stash(dense.mapInArrow(_split_rows(width, split), schema), "repeat-divided")
         pieces = stash(divided.join(shared(divided), "key", "left_semi"), "repeat-pieces")
-    pieces = pieces if settled is None else settled.unionByName(pieces)
+    if settled is not None:
+        pieces = settled if pieces is None else settled.unionByName(pieces)
 
     distinct = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.max("again").alias("again"))
     repeated = (
         distinct.repartition("key").sortWithinPartitions("key")
         .mapInArrow(_repeat_rows(width), "key long, digest string, ranges array<struct<first:long,last:long>>")
     )
-    found = (
+    hits = (
         pieces.withColumn("digest", F.md5("piece")).select("ref", "start", "key", "digest")
-        .join(repeated, ["key", "digest"])
+        .join(repeated, ["key", "digest"]).select("ref", "start", "ranges")
+    )
+    found = (
+        (hits if counted is None else hits.unionByName(counted))
         .groupBy("ref").agg(F.collect_list(F.struct("start", "ranges")).alias("_llm_found"))
     )
     known = texts.join(found, "ref", "left").where("copies > 1 OR _llm_found IS NOT NULL").select(

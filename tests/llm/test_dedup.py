@@ -141,6 +141,20 @@ def test_repeats_like_brute_force(spark, monkeypatch, width, key_bytes):
                    got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == plain_repeats(rows, width)
 
 
+def test_a_passage_of_many_texts_is_counted_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "KEY_BYTES", 5000)
+    longest = []
+    monkeypatch.setattr(repeats, "_window_rows", lambda width, made=repeats._window_rows: longest.append(width) or made(width))
+    rng = random.Random(12)
+    passage = edge.prose(rng, 130)[:600]
+    texts = [f"{edge.prose(rng, 40)} {passage} {edge.prose(rng, 40)}" for _ in range(60)] + [edge.prose(rng, 200), "a" * 9000, passage * 3]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3))
+    assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in
+                   got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == plain_repeats(rows, 400)
+    assert longest == [400]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(edge.empty(spark)).count() == 0
 
