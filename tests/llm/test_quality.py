@@ -79,6 +79,32 @@ def test_toxic_documents_and_sentences_are_found(spark):
     assert sum("vile" in s or "nasty" in s for s in spans) / len(spans) > 0.95
 
 
+def test_length_alone_makes_no_document_toxic(spark):
+    docs, labels = labelled(6, 900)
+    rng = random.Random(7)
+    pool = [edge.prose(rng, rng.randint(6, 15)).capitalize() + "." for _ in range(3000)]
+    model = toxicity.fit_from_labels(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = ["\n".join(rng.choice(pool) for _ in range(n)) for n in (5000, 50_000)]
+    lines = clean[1].split("\n")
+    bad = [*lines[:30_000], "some plain words vilefoo and more!", *lines[30_000:]]
+    weightless = "\n".join(["zzzz qqqq."] * 50_000)
+    table = spark.createDataFrame([(0, clean[0]), (1, clean[1]), (2, weightless), (3, "\n".join(bad))], "doc_id long, text string")
+    scores = dict(toxicity.score_toxicity(table, model).select("doc_id", "score").collect())
+    assert max(scores[k] for k in (0, 1, 2)) < 0.7 <= scores[3]
+
+
+def test_long_documents_are_learnt_from(spark):
+    docs, labels = labelled(8, 300)
+    rng = random.Random(9)
+    docs = [(k, text + "\n" + "\n".join(edge.prose(rng, 12) + "." for _ in range(400))) for k, text in docs]
+    assert min(len(text) for _, text in docs) > toxicity.SAMPLE_CHARS
+    assert all(len(toxicity.excerpt(text)) <= toxicity.SAMPLE_CHARS for _, text in docs)
+    model = toxicity.fit_from_labels(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.bias > -float("inf")
+
+
 def test_toxicity_edge_cases(spark):
     docs, labels = labelled(2, 200)
     model = toxicity.fit_from_labels(spark.createDataFrame(docs, "doc_id long, text string"),
