@@ -100,5 +100,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, too_
 FROM judged j JOIN verdicts v ON v.source IS NOT DISTINCT FROM j.source"""
 
 
+OP11 = """WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM texts GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), doc_id > least] AS f
+  FROM texts JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+met AS (
+  SELECT part, o, step, n, good, toxic, f[o[step]] AS fails,
+         len(list_filter(o[1:step - 1], lambda k: f[k])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS n_failed
+  FROM cells, steps),
+counted AS (
+  SELECT part, o, step, o[step] AS k,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails AND n_failed = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails), 0) AS toxic_lost
+  FROM met GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step, kept::BIGINT AS kept,
+       removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM counted"""
+
+
 def build() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7}
+    return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7, "op11_filter_audit": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likerec.llm import bpe, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
+from likerec.llm import bpe, filteraudit, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
 from likerec.llm.common import table
 
 
@@ -76,3 +76,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(table(spark, folder, "documents"), shards=16, seed=20)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
                         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "part", "filter_order", "step", *filteraudit.STEPS)
