@@ -134,5 +134,30 @@ SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)),
 FROM counted"""
 
 
+def _op12() -> str:
+    """Ten rounds of plain assignment and exact integer means."""
+    distance = "list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = ["""points AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS k, p AS c FROM points
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) <= 8)"""]
+    for i in range(11):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, p, k, {distance} AS distance FROM points, c{i}
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY {distance}, k) = 1)""")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+  WITH sums AS (
+    SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+    FROM (SELECT k, unnest(p) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY k, i),
+  means AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM sums GROUP BY k)
+  SELECT o.k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN means m USING (k))""")
+    return "WITH " + ",\n".join(steps[:-1]) + """
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (k)"""
+
+
 def build() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7, "op11_filter_audit": OP11}
+    return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7, "op11_filter_audit": OP11,
+            "op12_centroid_clusters": _op12()}

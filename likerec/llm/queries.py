@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likerec.llm import bpe, filteraudit, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
+from likerec.llm import bpe, centroids, filteraudit, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
 from likerec.llm.common import table
 
 
@@ -81,3 +81,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filteraudit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
         "part", "filter_order", "step", *filteraudit.STEPS)
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster_vectors(vectors, clusters=8, rounds=10, size=64, scale=1024, seed="3")
