@@ -158,6 +158,27 @@ SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION B
 FROM a10 JOIN c10 USING (k)"""
 
 
+WORDS13 = f"regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""WITH docs AS (SELECT doc_id, {WORDS13} AS words FROM documents),
+items AS (SELECT item_id, {WORDS13} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS m, array_to_string(list_slice(words, i, i + least(len(words), 10) - 1), ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM items WHERE len(words) > 0)),
+lengths AS (SELECT DISTINCT m FROM windows),
+own AS (
+  SELECT doc_id, m, i, array_to_string(list_slice(words, i, i + m - 1), ' ') AS w
+  FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM docs, lengths WHERE len(words) >= m)),
+matched AS (SELECT doc_id, o.m, i, item_id FROM own o JOIN windows b ON o.m = b.m AND o.w = b.w),
+places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM matched) GROUP BY doc_id),
+lists AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM matched) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+       sha256(coalesce(l.items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN places p USING (doc_id) LEFT JOIN lists l USING (doc_id)"""
+
+
 def build() -> dict[str, str]:
     return {"op2_line_dedup": OP2, "op3_mixing": OP3, "op6_embedding_dedup": OP6, "op7_quality_rules": OP7, "op11_filter_audit": OP11,
-            "op12_centroid_clusters": _op12()}
+            "op12_centroid_clusters": _op12(), "op13_decontamination": OP13}

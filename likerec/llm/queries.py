@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likerec.llm import bpe, centroids, filteraudit, linededup, mixing, quality, repeats, sharding, simhash, tokencounts, toxicity, vectors
+from likerec.llm import (bpe, centroids, decontamination, filteraudit, linededup, mixing, quality, repeats, sharding, simhash, tokencounts,
+                         toxicity, vectors)
 from likerec.llm.common import table
 
 
@@ -86,3 +87,9 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return centroids.cluster_vectors(vectors, clusters=8, rounds=10, size=64, scale=1024, seed="3")
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_benchmark_words(docs, table(spark, folder, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
