@@ -7,8 +7,11 @@ So one fingerprint's own pair of indices is among the index pairs of the other's
 of segments: each fingerprint is stored under 3 keys and looks under 3 x 36 at most. Rows that meet under a key are
 verified, and each key yields only the links of a spanning forest, never all pairs.
 
-Keys under which many fingerprints are stored are salted: their stored rows are dealt to blocks, and each looking
-row visits every block, so no task gathers more than a block of stored rows.
+Keys under which many fingerprints are stored or looked for are cut into cells: stored rows are dealt to blocks,
+looking rows to others, and each pair of blocks is a cell of its own, so no task gathers more than two blocks of one
+key. How many blocks a key needs is estimated from the keys of every 64th fingerprint; that decides about cells, not
+about results. There are 3 x 2^24 keys, so a key of a table of N spread fingerprints has N / 2^24 stored and 36 N / 2^24
+looking rows: 60 and 2,100 of 10^9, far below a block.
 """
 
 from __future__ import annotations
@@ -26,12 +29,16 @@ from pyspark.sql import types as T
 
 from likerec.llm.common import broadcast_bounded, stash, text_bytes, tidy, with_arrow_columns
 from likerec.llm.components import component_labels
+from likerec.session import shuffle_width
 
 # Fixed value: a generator polynomial of the binary Golay code of length 23.
 GOLAY_GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit and length
 MAX_INDICES = 6
-BLOCK_ROWS = 4096
+# Rows of a cell: stored and looking ones.
+BLOCK_ROWS, LOOK_ROWS = 4096, 65_536
+# Every so many fingerprints are counted to find crowded keys.
+COUNTED = 64
 COMPARED_AT_ONCE = 1 << 20
 # Bytes of text that are taken into words at a time.
 TEXT_BLOCK = 1 << 20
@@ -164,13 +171,13 @@ def _forest(stored: np.ndarray, looking: np.ndarray, max_distance: int) -> Itera
 
 def _link_rows(max_distance: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by salt and key, stored rows first; a key's rows may span batches."""
+        """Rows sorted by cell and key, stored rows first; a key's rows may span batches."""
         kept = [np.empty(0, np.int64)] * 3
 
-        def links(salt: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(cell: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(key):
                 return
-            change = np.r_[True, (key[1:] >> 1 != key[:-1] >> 1) | (salt[1:] != salt[:-1])]
+            change = np.r_[True, (key[1:] >> 1 != key[:-1] >> 1) | (cell[1:] != cell[:-1])]
             starts = np.flatnonzero(change)
             ends = np.r_[starts[1:], len(key)]
             looks = key & 1
@@ -185,9 +192,9 @@ def _link_rows(max_distance: int):
             yield pa.RecordBatch.from_arrays([pa.array(x.copy().view(np.int64)) for x in (a, b)], names=["a", "b"])
 
         for batch in source:
-            whole = [np.concatenate([old, batch.column(n).to_numpy()]) for old, n in zip(kept, ("salt", "key", "fp"))]
-            salt, key, _ = whole
-            same = (key >> 1 == key[-1] >> 1) & (salt == salt[-1]) if len(key) else np.zeros(0, bool)
+            whole = [np.concatenate([old, batch.column(n).to_numpy()]) for old, n in zip(kept, ("cell", "key", "fp"))]
+            cell, key, _ = whole
+            same = (key >> 1 == key[-1] >> 1) & (cell == cell[-1]) if len(key) else np.zeros(0, bool)
             cut = int(np.argmax(same)) if len(same) else 0
             yield from links(*[x[:cut] for x in whole])
             kept = [x[cut:] for x in whole]
@@ -196,30 +203,47 @@ def _link_rows(max_distance: int):
     return rows
 
 
+def _crowded_keys(fps: DataFrame) -> DataFrame:
+    """(hot, blocks, looks): keys whose rows are more than a block, by the keys of a part of the fingerprints."""
+    counted = fps.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).mapInArrow(_key_rows, "key long, fp long")
+    looking = F.sum(F.col("key") % 2) * COUNTED
+    stored = F.sum(1 - F.col("key") % 2) * COUNTED
+    blocks = counted.groupBy(F.shiftright("key", 1).alias("hot")).agg(
+        F.greatest(F.ceil(stored / BLOCK_ROWS), F.lit(1)).cast("int").alias("blocks"),
+        F.greatest(F.ceil(looking / LOOK_ROWS), F.lit(1)).cast("int").alias("looks"))
+    return stash(blocks.where("blocks > 1 OR looks > 1"), "simhash-hot-keys")
+
+
 def fingerprint_links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that connect all of those within ``max_distance`` (3 at most)."""
     if max_distance > 3:
         raise ValueError("the keys find up to 3 differing bits")
-    keyed = fps.mapInArrow(_key_rows, "key long, fp long")
+    # A fingerprint makes 111 rows, so its table's few files are spread over tasks first.
+    fps = stash(fps.select("fp"), "simhash-nodes")
+    spread = fps.repartition(shuffle_width(fps.sparkSession, 111 * fps.count()), "fp")
+    keyed = spread.mapInArrow(_key_rows, "key long, fp long")
     pair = F.shiftright("key", 1)
-    stored = fps.mapInArrow(_key_rows, "key long, fp long").where("key % 2 = 0")
-    hot = stash(
-        stored.groupBy(pair.alias("_hot")).count().where(F.col("count") > BLOCK_ROWS)
-        .select("_hot", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")),
-        "simhash-hot-keys")
-    block = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
-    blocks = F.when(F.col("key") % 2 == 0, F.array(block)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: x.cast("long")))
-    salted = (
-        keyed.join(broadcast_bounded(hot, 32), pair == F.col("_hot"), "left")
-        .select(F.explode(blocks).alias("salt"), "key", "fp")
+    blocks, looks = (F.coalesce(c, F.lit(1)) for c in ("blocks", "looks"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    cells = F.when(F.col("key") % 2 == 0, F.transform(every(looks), lambda x: x * blocks + mine(blocks))).otherwise(
+        F.transform(every(blocks), lambda x: mine(looks) * blocks + x))
+    dealt = (
+        keyed.join(broadcast_bounded(_crowded_keys(fps), 32), pair == F.col("hot"), "left")
+        .select(F.explode(cells).alias("cell"), "key", "fp")
     )
     return (
-        salted.repartition("salt", F.shiftright("key", 1)).sortWithinPartitions("salt", "key")
+        dealt.repartition("cell", F.shiftright("key", 1)).sortWithinPartitions("cell", "key")
         .mapInArrow(_link_rows(max_distance), "a long, b long")
     )
 
 
+def _rooted(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """``nodes`` (fp, ...) with the ``root`` of each fingerprint's component."""
+    labels = component_labels(fingerprint_links(nodes.select("fp"), max_distance))
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
     """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -234,8 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
     docs = tidy(docs, ["doc_id", "text"], ["fingerprint", "component_id"])
     marked = stash(fingerprints(docs, words), "simhash-fingerprints")
     nodes = stash(marked.groupBy(F.col("_llm_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    labels = component_labels(fingerprint_links(nodes.select("fp"), max_distance))
-    rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(nodes, max_distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select(F.col("fp").alias("_llm_fp"), "component_id")
     return (
@@ -243,3 +266,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
         .withColumn("fingerprint", F.lower(F.lpad(F.hex("_llm_fp"), 16, "0")))
         .select(*[f"`{c}`" for c in docs.columns], "fingerprint", "component_id")
     )
+
+
+def first_of_each_group(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``: the one of the least doc_id.
+
+    Null ids come last; of rows of one id the text's hash decides, then the place. Groups are found by fingerprint
+    alone, and only the rows that stay travel by their place, so a group of very many copies is no group of texts
+    anywhere. Columns and edge cases are those of ``near_duplicates``.
+    """
+    docs = tidy(docs, ["doc_id", "text"], [])
+    marked = stash(fingerprints(docs, words).withColumn("_llm_row", F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"),
+                     F.col("_llm_row").alias("_llm_row"))
+    nodes = stash(marked.groupBy(F.col("_llm_fp").alias("fp")).agg(F.min(order).alias("first")), "simhash-distinct")
+    stay = _rooted(nodes, max_distance).groupBy("root").agg(F.min("first").alias("first")).select("first._llm_row")
+    return marked.join(stay, "_llm_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from likerec.llm import components, linededup, neargroups, repeats, simhash, suffix
+from likerec.llm import components, linededup, repeats, simhash, suffix
 from tests.llm import edge
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -61,10 +61,31 @@ def test_near_duplicates_like_brute_force(spark):
     assert simhash.near_duplicates(edge.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_links_of_crowded_fingerprints(spark, monkeypatch, block):
-    """Chains and crowds of near fingerprints, also with keys cut into blocks."""
+def plain_firsts(rows):
+    """Of (doc_id, text) rows, the ids that stay: the least of each component."""
+    prints = [plain_fingerprint(r[1], 3) for r in rows]
+    roots = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    return Counter(least_by_root([r[0] for r in rows], roots)[roots.index(k)] for k in set(roots))
+
+
+def test_one_of_each_group_stays(spark):
+    rows = edge.rows(6)
+    stay = simhash.first_of_each_group(edge.documents(spark, 6))
+    kept = [tuple(r) for r in stay.select("doc_id", "text").collect()]
+    assert Counter(r[0] for r in kept) == plain_firsts(rows)
+    assert set(kept) <= {(r[0], r[1]) for r in rows}
+    assert stay.columns == [c for c in edge.documents(spark, 6).columns if c not in ("_llm_fp", "TEXT")]
+    assert simhash.first_of_each_group(edge.empty(spark)).count() == 0
+    none = spark.createDataFrame([(None, "one two three four"), (None, "one two three four"), (None, "")], "doc_id long, text string")
+    assert simhash.first_of_each_group(none).count() == 2
+
+
+@pytest.mark.parametrize(("block", "look"), [(4096, 65_536), (7, 65_536), (4096, 11), (7, 11)])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, block, look):
+    """Chains and crowds of near fingerprints, also with keys cut into cells of stored and looking blocks."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(simhash, "LOOK_ROWS", look)
+    monkeypatch.setattr(simhash, "COUNTED", 1)
     rng = np.random.default_rng(2)
     crowd = np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) ^ (
         np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
@@ -174,70 +195,3 @@ def test_segments_hold_each_window_once(text, half, seed):
     for first, last, _, _ in repeats.segments(text, width, seed):
         starts += [k for a, b in zip(first.tolist(), last.tolist()) for k in range(a, b - width + 1)]
     assert sorted(starts) == list(range(len(text) - width + 1))
-
-
-def plain_shingles(text):
-    words = [w for w in "".join(" " if c in BLANKS else c for c in (text or "").lower()).split(" ") if w]
-    return frozenset(" ".join(words[k:k + 5]) for k in range(len(words) - 4)) or frozenset([" ".join(words)])
-
-
-def near_copies(seed):
-    """Texts, each with copies of which more and more words differ."""
-    rng = random.Random(seed)
-    rows = []
-    for _ in range(25):
-        words = edge.prose(rng, rng.randint(80, 400)).split()
-        for changed in (0, 1, 2, 4, 12, 40):
-            copy = list(words)
-            for place in rng.sample(range(len(copy)), changed):
-                copy[place] = edge.word(rng)
-            rows.append((len(rows), " ".join(copy), "en", "s", 1))
-    return rows
-
-
-def test_one_of_each_group_of_near_copies_stays(spark):
-    rows = near_copies(4)
-    sets = [plain_shingles(r[1]) for r in rows]
-    roots = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
-    want = {min(r[0] for r, root in zip(rows, roots) if root == k) for k in set(roots)}
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = {r[0] for r in neargroups.first_of_each_group(table).select("doc_id").collect()}
-    assert want <= got  # nothing is linked below the similarity
-    assert len(got - want) <= 0.05 * (len(rows) - len(want))
-
-
-@pytest.mark.parametrize("block", [2048, 3])
-def test_groups_of_edge_cases(spark, monkeypatch, block):
-    monkeypatch.setattr(neargroups, "BLOCK_ROWS", block)
-    rows = edge.rows(5)
-    got = neargroups.first_of_each_group(edge.documents(spark, 5))
-    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
-    sets = [plain_shingles(t) for _, t in kept]
-    assert len(kept) == len(set(kept))
-    assert all(len(a & b) < 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
-    of = {plain_shingles(t) for _, t in [(r[0], r[1]) for r in rows]}
-    assert all(any(len(a & b) >= 0.8 * len(a | b) for b in sets) for a in of)
-    assert neargroups.first_of_each_group(edge.empty(spark)).count() == 0
-
-
-def template_crowd(seed, n, copies):
-    """Texts of one template that are not similar enough, and similar copies of some of them."""
-    rng = random.Random(seed)
-    template = edge.prose(rng, 200)
-    own = [edge.prose(rng, 35).split() for _ in range(n)]
-    for k in range(copies):
-        own.append(own[k][:-23] + edge.prose(rng, 23).split())
-    return [(k, f"{template} {' '.join(words)}", "en", "s", 1) for k, words in enumerate(own)]
-
-
-@pytest.mark.parametrize("block", [2048, 300])
-def test_copies_in_a_crowd_of_template_texts_are_found(spark, monkeypatch, block):
-    monkeypatch.setattr(neargroups, "BLOCK_ROWS", block)
-    n, copies = 1200, 120
-    rows = template_crowd(7, n, copies)
-    sets = [plain_shingles(r[1]) for r in rows]
-    assert [len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k]) for k in (n, 1)] == [True, False]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = {r[0] for r in neargroups.first_of_each_group(table).select("doc_id").collect()}
-    assert set(range(n)) <= got
-    assert len(got) - n <= 0.1 * copies
