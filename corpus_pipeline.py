@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likerec.llm import bpe, linededup, mixing, neargroups, toxicity
+from likerec.llm import bpe, linededup, mixing, simhash, toxicity
 from likerec.llm.common import stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the first by id."""
-    return neargroups.first_of_each_group(docs.select(*COLUMNS), words=5, similarity=0.8).select(*COLUMNS)
+    """One document of each group of near fingerprints: the first by id."""
+    return simhash.first_of_each_group(docs.select(*COLUMNS), words=3, max_distance=3).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
