@@ -223,7 +223,7 @@ PICKED = """picked AS (
 # Result types that DuckDB would choose otherwise.
 TYPES = {"rank": "INTEGER", "position": "INTEGER", "score": "DOUBLE"}
 TYPED = {
-    "collaborative_suggestions": ("rank",), "collaborative_suggestions_spread": ("rank",),
+    "rank_unliked": ("rank",), "collaborative_suggestions": ("rank",), "collaborative_suggestions_spread": ("rank",),
     "content_suggestions": ("rank",), "content_suggestions_spread": ("rank",),
     "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
     "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
@@ -302,13 +302,17 @@ def build() -> dict[str, str]:
         SELECT doc_id, term, round(weight, 6) AS weight FROM vectors""")
     sql["user_profiles"] = with_ctes(SONGS, LIKES, documents("fx_songs"), TOKENS, WEIGHTS, PROFILES, final="""
         SELECT user_id, term, round(weight, 6) AS weight FROM profiles""")
-    sql["cosine_scores"] = with_ctes(SONGS, LIKES, documents("fx_songs"), TOKENS, WEIGHTS, PROFILES, """
+    cosine = """
         mean_norm AS (SELECT user_id, sqrt(sum(weight * weight)) AS norm FROM profiles GROUP BY user_id),
-        pool AS (SELECT id FROM fx_songs ORDER BY updated_at DESC, id LIMIT 1000),
+        pool AS (SELECT id AS doc_id FROM fx_songs ORDER BY updated_at DESC, id LIMIT 1000),
         scored AS (
-          SELECT p.user_id, v.doc_id, sum(p.weight * v.weight / m.norm) AS score
+          SELECT p.user_id, v.doc_id AS song_id, sum(p.weight * v.weight / m.norm) AS score
           FROM profiles p JOIN mean_norm m USING (user_id) JOIN vectors v USING (term)
-          WHERE v.doc_id IN (SELECT id FROM pool) GROUP BY p.user_id, v.doc_id)""", final="""
+          WHERE v.doc_id IN (SELECT doc_id FROM pool) GROUP BY p.user_id, v.doc_id)"""
+    sql["rank_unliked"] = with_ctes(SONGS, LIKES, documents("fx_songs"), TOKENS, WEIGHTS, PROFILES, cosine,
+                                    RANKING.format(songs="fx_songs", likes="fx_likes"), final="""
+        SELECT user_id, song_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""")
+    sql["cosine_scores"] = with_ctes(SONGS, LIKES, documents("fx_songs"), TOKENS, WEIGHTS, PROFILES, cosine, final="""
         SELECT user_id, count(*) AS n_scored, round(max(score), 6) AS best, round(avg(score), 6) AS mean
         FROM scored GROUP BY user_id""")
     sql["content_suggestions"] = with_ctes(SONGS, LIKES, content(), final=CONTENT_ROWS)

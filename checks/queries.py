@@ -213,6 +213,19 @@ def cosine_scores(spark, folder):
         F.count("*").alias("n_scored"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+def rank_unliked(spark, folder):
+    """Ranks by the scores of ``cosine_scores``, in which one idf serves all."""
+    t = Inputs(spark, folder)
+    vectors, likes = _song_vectors(t.songs), t.like_table.select("user_id", "song_id")
+    pool = materialize(lookup.candidate_songs(t.songs).select(F.col("id").alias("song_id")))
+    scores = profiles.cosine_scores(profiles.user_profiles(likes, vectors),
+                                    vectors.join(pool.withColumnRenamed("song_id", "doc_id"), "doc_id", "left_semi"))
+    liked = materialize(likes.join(pool, "song_id", "left_semi"))
+    marked = scores.join(liked.withColumn("liked", F.lit(True)), ["user_id", "song_id"], "left").withColumn(
+        "liked", F.coalesce("liked", F.lit(False)))
+    return _rounded(profiles.rank_unliked(marked, likes.select("user_id").distinct(), liked, pool))
+
+
 def _rounded(suggestions):
     return suggestions.withColumn("score", F.round("score", 6))
 

@@ -58,32 +58,21 @@ def cosine_scores(profiles: DataFrame, candidate_vectors: DataFrame) -> DataFram
     )
 
 
-def rank_unliked(scores: DataFrame, history: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+def rank_unliked(scores: DataFrame, users: DataFrame, liked: DataFrame, pool: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best candidates per user that the user does not like yet, with ranks from 1.
 
-    ``history`` is (user_id, song_id), ``candidates`` holds song ``id``. Ties go to the smaller
-    id, and candidates that score zero fill the list up.
-
-    Of each user's candidates only the best ``k`` plus as many as the user likes among them can
-    matter; these few rows, not all scores, meet the likes.
+    ``scores`` is (user_id, song_id, score, liked) for candidates that share a term with the user, ``liked`` marking the
+    user's own; ``pool`` holds all candidates as ``song_id``, the table ``liked`` the likes among them, and ``users`` those
+    who get a list. Ties go to the smaller id, and candidates that score zero fill the list up.
     """
-    pool = candidates.select(F.col("id").alias("song_id"))
-    liked = history.select("user_id", "song_id").join(pool, "song_id", "left_semi")
-    n_liked = liked.groupBy("user_id").agg(F.count("*").alias("n_liked"))
-    order = Window.partitionBy("user_id").orderBy(*best_first())
-    short_list = (
-        scores.where(F.col("score") > 0)
-        .join(n_liked, "user_id", "left")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k + F.coalesce("n_liked", F.lit(0)))
-        .select("user_id", "song_id", "score")
-    )
+    # Liked candidates sort last: they only show up in lists that are too short.
+    order = Window.partitionBy("user_id").orderBy("liked", *best_first())
     top = materialize(
-        short_list.join(liked, ["user_id", "song_id"], "left_anti")
-        .withColumn("rank", F.row_number().over(order))
+        scores.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
+        .where(~F.col("liked") & (F.col("score") > 0))
+        .select("user_id", "song_id", "score", "rank")
     )
-    users = history.select("user_id").distinct()
     return top.unionByName(zero_score_fill(top, users, liked, pool, k))
 
 

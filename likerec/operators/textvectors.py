@@ -11,48 +11,22 @@ from pyspark.sql.window import Window
 from likerec.functions.text import default_stop_words, tokens
 
 
-def _kept_tokens(text: Column, stop_words: Sequence[str] | None) -> Column:
-    words = list(default_stop_words() if stop_words is None else stop_words)
-    return F.filter(tokens(text), lambda term: ~term.isin(words)) if words else tokens(text)
-
-
 def tokenize(docs: DataFrame, text: Column | str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
     """One row (doc_id, term) per token that is not a stop word."""
+    words = list(default_stop_words() if stop_words is None else stop_words)
     column = F.col(text) if isinstance(text, str) else text
-    return docs.select("doc_id", F.explode(_kept_tokens(column, stop_words)).alias("term"))
+    rows = docs.select("doc_id", F.explode(tokens(column)).alias("term"))
+    return rows.where(~F.col("term").isin(words)) if words else rows
 
 
 def term_counts(token_rows: DataFrame) -> DataFrame:
-    """Raw counts (doc_id, term, tf)."""
+    """Raw counts (doc_id, term, tf); tasks add up their own tokens before the shuffle."""
     return token_rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def term_entries(text: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """The counts of one text as an array of (term, tf), made within its row.
-
-    Tokens are sorted, so that equal ones are neighbours; a run's length is its term's count.
-    """
-    ordered = F.array_sort(_kept_tokens(text, stop_words))
-
-    def starts(tokens: Column) -> Column:
-        first = lambda k: (k == 0) | (F.get(tokens, k) != F.get(tokens, k - 1))
-        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), first)
-
-    def runs(state: Column) -> Column:
-        at, tokens = state["starts"], state["tokens"]
-        return F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda k: F.struct(
-            F.get(tokens, F.get(at, k)).alias("term"),
-            (F.coalesce(F.get(at, k + 1), F.size(tokens)) - F.get(at, k)).cast("long").alias("tf")))
-
-    # One-element arrays name an intermediate value, so that it is computed once.
-    named = F.transform(F.array(ordered), lambda t: F.struct(t.alias("tokens"), starts(t).alias("starts")))
-    return F.when(F.size(ordered) > 0, F.element_at(F.transform(named, runs), 1))
-
-
 def document_terms(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``term_counts`` of documents (doc_id, text) with one row per document, without a shuffle."""
-    entries = docs.select("doc_id", term_entries(F.col("text"), stop_words).alias("entries"))
-    return entries.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.term", "e.tf")
+    """``term_counts`` of documents (doc_id, text)."""
+    return term_counts(tokenize(docs, stop_words=stop_words))
 
 
 def smoothed_idf(n_docs: Column, df: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from likerec.functions.text import feature_text
 from likerec.operators.lookup import candidate_songs
-from likerec.operators.profiles import best_first, zero_score_fill
+from likerec.operators.profiles import rank_unliked
 from likerec.operators.textvectors import document_terms, idf, tfidf
 from likerec.session import broadcast_rows, materialize, shuffle_width
 
@@ -229,20 +229,7 @@ def _shared_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode:
     if postings.where(F.col("c") > 0).isEmpty():
         users = users.limit(0)
     liked = pairs.join(ids, "song_id", "left_semi")
-    return _best_unliked(scores, users, liked, ids, k)
-
-
-def _best_unliked(scores: DataFrame, users: DataFrame, liked: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of the scored candidates (user_id, song_id, score, liked), filled up with unscored ones."""
-    # Liked candidates sort last: they only show up in lists that are too short.
-    order = Window.partitionBy("user_id").orderBy("liked", *best_first())
-    top = materialize(
-        scores.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .where(~F.col("liked") & (F.col("score") > 0))
-        .select("user_id", "song_id", "score", "rank")
-    )
-    return top.unionByName(zero_score_fill(top, users, liked, ids, k))
+    return rank_unliked(scores, users, liked, ids, k)
 
 
 def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: int = 1000,
@@ -282,4 +269,4 @@ def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode
         worded = vectors.where(F.exists("entries", lambda e: e["tf"] > 0)).select("song_id")
         users = pairs.join(worded, "song_id", "left_semi").select("user_id").distinct()
     liked = pairs.join(broadcast_rows(candidates.ids, candidates.size), "song_id", "left_semi")
-    return _best_unliked(content_scores(profiles, candidates), users, liked, candidates.ids, k)
+    return rank_unliked(content_scores(profiles, candidates), users, liked, candidates.ids, k)
