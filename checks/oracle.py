@@ -229,7 +229,7 @@ TYPED = {
     "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
     "collaborative_or_popular": ("rank", "score"), "suggest": ("rank", "score"), "suggest_combined": ("rank", "score"),
     "process_requests_suggestions": ("rank", "score"), "commit_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
-    "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",),
+    "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",), "resolve_misspelled_songs": ("position",),
     "reusable_searches": ("position",),
 }
 
@@ -291,6 +291,27 @@ def build() -> dict[str, str]:
     sql["resolve_songs"] = with_ctes(SONGS, REQUESTS, ITEMS, RESOLVED, final="""
         SELECT request_id, position, query, video_id, title, artist FROM resolved""")
 
+    gram_set = "list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))"
+    sql["resolve_misspelled_songs"] = with_ctes(SONGS, REQUESTS, ITEMS, RESOLVED, f"""
+        typed AS (
+          SELECT request_id, position, concat(substr(song_name, 1, gone), substr(song_name, gone + 2)) AS song_name FROM (
+            SELECT *, CAST((request_id * 7 + position) % greatest(length(song_name), 1) AS INTEGER) AS gone FROM exploded)),
+        asked AS (SELECT DISTINCT {normalized('song_name')} AS query FROM typed),
+        query_grams AS (SELECT query, {gram_set} AS g FROM (SELECT query, concat('  ', query, ' ') AS p FROM asked WHERE query IS NOT NULL)),
+        named AS (SELECT query AS form, min(tier * 1e12 + id) AS place, arg_min(id, tier * 1e12 + id) AS id
+                  FROM forms WHERE query IS NOT NULL GROUP BY query),
+        form_grams AS (SELECT form, place, id, {gram_set} AS g FROM (SELECT *, concat('  ', form, ' ') AS p FROM named)),
+        met AS (
+          SELECT query, form, count(*) AS n FROM (SELECT query, unnest(g) AS gram FROM query_grams)
+          JOIN (SELECT form, unnest(g) AS gram FROM form_grams) USING (gram) GROUP BY query, form),
+        scored AS (
+          SELECT o.query, f.id, f.place, o.query = o.form AS same, n / (len(q.g) + len(f.g) - n) AS score
+          FROM met o JOIN query_grams q USING (query) JOIN form_grams f USING (form)),
+        chosen AS (SELECT * FROM scored WHERE score >= 0.6 QUALIFY row_number() OVER (
+          PARTITION BY query ORDER BY same DESC, score DESC, place) = 1)""", final=f"""
+        SELECT t.request_id, t.position, t.song_name, s.video_id, round(c.score, 6) AS score
+        FROM typed t LEFT JOIN chosen c ON c.query = {normalized('t.song_name')} LEFT JOIN fx_catalog s ON s.id = c.id""")
+
     sql["feature_text"] = with_ctes(SONGS, documents("fx_songs"), final="SELECT * FROM docs")
     sql["feature_text_weighted"] = with_ctes(SONGS, documents("fx_songs", "weighted"), final="SELECT * FROM docs")
     sql["song_tokens"] = with_ctes(SONGS, documents("fx_songs"), TOKENS, final="SELECT * FROM tok")

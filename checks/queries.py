@@ -162,6 +162,13 @@ def resolve_songs(spark, folder):
     return resolved.select("request_id", "position", "query", "video_id", "title", "artist")
 
 
+def resolve_misspelled_songs(spark, folder):
+    """Every requested name without one of its characters, searched by similarity."""
+    t = Inputs(spark, folder)
+    resolved = ingest.resolve_songs(fx.misspelled(t.items()), t.catalog, keep_unresolved=True, similarity=0.6)
+    return resolved.select("request_id", "position", "song_name", "video_id", F.round("score", 6).alias("score"))
+
+
 def feature_text(spark, folder):
     return content.song_documents(Inputs(spark, folder).songs)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likerec.functions.text import normalize_query
+from likerec.operators.search import closest_forms, name_forms
 from likerec.schema import SEARCH_RESPONSE
 from likerec.session import materialize
 
@@ -73,39 +74,24 @@ def parse_search_responses(responses: DataFrame, mode: str = "first") -> DataFra
     )
 
 
-def search_index(catalog: DataFrame) -> DataFrame:
-    """(query, id): the song that answers each search form.
-
-    ``title - artist`` beats the bare title, then the smaller id wins. One row per form, so
-    however many songs share a name, a search meets one row.
-    """
-    title, artist = F.col("title"), F.col("artist")
-    forms = F.array(
-        F.struct(F.lit(1).alias("tier"), normalize_query(F.concat(title, F.lit(" - "), artist)).alias("query")),
-        F.struct(F.lit(2).alias("tier"), normalize_query(title).alias("query")),
-    )
-    return (
-        catalog.select("id", F.explode(forms).alias("f"))
-        .where(F.col("f.query").isNotNull())
-        .groupBy(F.col("f.query").alias("query"))
-        .agg(F.min(F.struct(F.col("f.tier"), F.col("id")))["id"].alias("catalog_id"))
-    )
-
-
-def resolve_songs(names: DataFrame, catalog: DataFrame, keep_unresolved: bool = False) -> DataFrame:
+def resolve_songs(names: DataFrame, catalog: DataFrame, keep_unresolved: bool = False, similarity: float | None = None) -> DataFrame:
     """``names`` (with a ``song_name`` column) plus query, video_id, title, artist of the best song.
 
     Names are normalized and looked up once per distinct spelling, so a name that fills a third
     of the input costs one lookup. The answers are sent to the names when they are few.
+    With ``similarity`` a name that no song has in equal form finds the closest one of at least that
+    similarity, and the rows have its ``score`` (1 for an equal form).
     """
     details = catalog.select(F.col("id").alias("catalog_id"), "video_id", "title", "artist")
     spellings = names.select("song_name").distinct().withColumn("query", normalize_query(F.col("song_name")))
-    hits = (
-        spellings.where(F.col("query").isNotNull())
-        .join(search_index(catalog), "query")
-        .join(details, "catalog_id")
-        .drop("catalog_id")
-    )
+    asked = spellings.where(F.col("query").isNotNull())
+    if similarity is None:
+        found = name_forms(catalog).select(F.col("form").alias("query"), F.col("id").alias("catalog_id"))
+    else:
+        spellings = materialize(spellings)
+        asked = spellings.where(F.col("query").isNotNull())
+        found = closest_forms(asked, name_forms(catalog), similarity).withColumnRenamed("id", "catalog_id")
+    hits = asked.join(found, "query").join(details, "catalog_id").drop("catalog_id")
     if keep_unresolved:
         hits = spellings.join(hits.drop("query"), "song_name", "left")
     answers = materialize(hits)
