@@ -225,6 +225,7 @@ TYPES = {"rank": "INTEGER", "position": "INTEGER", "score": "DOUBLE"}
 TYPED = {
     "rank_unliked": ("rank",), "collaborative_suggestions": ("rank",), "collaborative_suggestions_spread": ("rank",),
     "content_suggestions": ("rank",), "content_suggestions_spread": ("rank",),
+    "content_suggestions_bounded": ("rank",), "content_suggestions_of_all_songs": ("rank",),
     "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
     "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
     "collaborative_or_popular": ("rank", "score"), "suggest": ("rank", "score"), "suggest_combined": ("rank", "score"),
@@ -469,5 +470,7 @@ def build() -> dict[str, str]:
     sql["commit_requests_likes"] = sql["stream_likes"]
     sql["commit_requests_suggestions"] = sql["process_requests_suggestions"]
     sql["collaborative_suggestions_spread"] = sql["collaborative_suggestions"]
+    sql["content_suggestions_bounded"] = sql["content_suggestions"]
+    sql["content_suggestions_of_all_songs"] = sql["content_suggestions"].replace("ORDER BY updated_at DESC, id LIMIT 1000", "")
     sql["content_suggestions_spread"] = sql["content_suggestions"]
     return {name: with_types(text, TYPED.get(name, ())) for name, text in sql.items()}

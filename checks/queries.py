@@ -248,6 +248,18 @@ def content_suggestions_spread(spark, folder):
     return _rounded(content.content_suggestions(t.like_table, t.songs, heavy_history=38))
 
 
+def content_suggestions_bounded(spark, folder):
+    """Only cells that can be among the best, of the usual pool."""
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.like_table, t.songs, bounded=True))
+
+
+def content_suggestions_of_all_songs(spark, folder):
+    """The whole catalogue as the pool."""
+    t = Inputs(spark, folder)
+    return _rounded(content.content_suggestions(t.like_table, t.songs, pool=None, bounded=True))
+
+
 def content_suggestions_weighted(spark, folder):
     t = Inputs(spark, folder)
     return _rounded(content.content_suggestions(t.like_table, t.songs, mode="weighted"))

@@ -30,6 +30,7 @@ from likerec.functions.text import feature_text
 from likerec.operators.lookup import candidate_songs
 from likerec.operators.profiles import rank_unliked
 from likerec.operators.textvectors import document_terms, idf, tfidf
+from likerec.plans.boundedtopk import bounded_scores, squared_norm
 from likerec.session import broadcast_rows, materialize, shuffle_width
 
 # Users with more likes than this are weighted by shuffles on (user, term) instead of in one task.
@@ -57,8 +58,8 @@ class Candidates:
     has_terms: bool
 
 
-def prepare_candidates(songs: DataFrame, pool: int, mode: str, stop_words: Sequence[str] | None) -> Candidates:
-    chosen = materialize(candidate_songs(songs, pool))
+def prepare_candidates(songs: DataFrame, pool: int | None, mode: str, stop_words: Sequence[str] | None) -> Candidates:
+    chosen = materialize(songs if pool is None else candidate_songs(songs, pool))
     size = chosen.count()
     ids = chosen.select(F.col("id").alias("song_id"))
     tf = song_term_counts(chosen, mode, stop_words)
@@ -160,6 +161,15 @@ def weighted_profiles(likes: DataFrame, vectors: DataFrame, candidates: Candidat
     return others.unionByName(long_ones).repartition(width, "user_id")
 
 
+def _score_rows(profiles: DataFrame, n: int) -> DataFrame:
+    """(user_id, h, term, df, p, x, y, ratio): p is the unit profile, a dot product is a sum of x tf, the shift of a squared
+    norm one of y tf^2, and ratio is the user's idf of the term by that without the user's own songs."""
+    idf_user, idf_plain = _idf(n, F.col("df") + F.col("dfh")), _idf(n, F.col("df"))
+    unit = F.when(F.col("norm2") > 0, F.col("weight") / F.sqrt("norm2")).otherwise(0.0)
+    return profiles.select("user_id", "h", "term", "df", unit.alias("p"), (unit * idf_user).alias("x"),
+                           (idf_user * idf_user - idf_plain * idf_plain).alias("y"), (idf_user / idf_plain).alias("ratio"))
+
+
 def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
     """(user_id, song_id, score, liked) for every candidate that shares a term with the profile.
 
@@ -167,10 +177,7 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
     the sums per candidate and the ranking reuse the partitioning by user.
     """
     n = candidates.size
-    idf_user, idf_plain = _idf(n, F.col("df") + F.col("dfh")), _idf(n, F.col("df"))
-    usable = F.when(F.col("norm2") > 0, F.col("weight") * idf_user / F.sqrt("norm2")).otherwise(0.0)
-    rows = profiles.select("user_id", "h", "term", usable.alias("x"),
-                           (idf_user * idf_user - idf_plain * idf_plain).alias("y"))
+    rows = _score_rows(profiles, n).select("user_id", "h", "term", "x", "y")
     postings = candidates.postings.select("term", "song_id", F.col("tf").cast("double").alias("ctf"))
     cells = (
         rows.join(postings, "term")
@@ -182,13 +189,21 @@ def content_scores(profiles: DataFrame, candidates: Candidates) -> DataFrame:
             (F.min("ctf") == 0).alias("liked"),
         )
     )
-    a = F.log(F.lit(1.0) + n + F.col("h")) + 1
-    squared = a * a * F.col("s0") - 2 * a * F.col("s1") + F.col("s2") + F.col("shift")
+    squared = squared_norm(F.log(F.lit(1.0) + n + F.col("h")) + 1) + F.col("shift")
     score = F.when(F.col("dot") > 0, F.col("dot") / F.sqrt(squared)).otherwise(0.0)
     return cells.join(broadcast_rows(candidates.norms, n), "song_id").select(
         "user_id", "song_id", score.alias("score"), "liked")
 
 
+def bounded_content_scores(profiles: DataFrame, candidates: Candidates, liked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``content_scores`` of the cells that may be among a user's ``k`` best, and these cells."""
+    rows = materialize(_score_rows(profiles, candidates.size).where("df > 0"))
+    keep = rows.groupBy("user_id").agg(F.min("ratio").alias("keep"))
+    postings = candidates.postings.select("term", "song_id", F.col("tf").cast("double").alias("tf"))
+    return bounded_scores(rows.join(keep, "user_id").select("user_id", "h", "term", "p", "x", "y", "keep"), postings, candidates.norms, liked,
+                          candidates.size, k)
+
+
 def _shared_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode: str,
                    stop_words: Sequence[str] | None) -> DataFrame:
     """Variant with one idf for everybody, from the candidates alone.
@@ -232,14 +247,15 @@ def _shared_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode:
     return rank_unliked(scores, users, liked, ids, k)
 
 
-def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: int = 1000,
+def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: int | None = 1000,
                         mode: str = "as_coded", corpus: str = "per_user",
                         stop_words: Sequence[str] | None = None, wanted: DataFrame | None = None,
-                        heavy_history: int = HEAVY_HISTORY) -> DataFrame:
+                        heavy_history: int = HEAVY_HISTORY, bounded: bool = False) -> DataFrame:
     """(user_id, rank, song_id, video_id, title, artist, score): the ``k`` unliked candidates
     closest to the user's taste.
 
-    Candidates are the ``pool`` most recently updated songs. Likes of songs that are gone do not
+    Candidates are the ``pool`` most recently updated songs, or all with ``pool=None``. ``bounded`` scores only those
+    that can be among a user's best, with the same result; it is for pools of many songs. Likes of songs that are gone do not
     count. Users without likes get no row, and
     nobody gets one when neither side has a usable token. ``corpus="shared"`` fits one idf on
     the candidates instead of one per user.
@@ -248,18 +264,20 @@ def content_suggestions(likes: DataFrame, songs: DataFrame, k: int = 10, pool: i
         likes = likes.join(wanted.select("user_id").distinct(), "user_id", "left_semi")
     likes = likes.join(songs.select(F.col("id").alias("song_id")), "song_id", "left_semi")
     details = songs.select(F.col("id").alias("song_id"), "video_id", "title", "artist")
+    if bounded and corpus != "per_user":
+        raise ValueError("bounds are those of one corpus per user")
     if corpus == "shared":
         ranked = _shared_corpus(likes, songs, k, pool, mode, stop_words)
     elif corpus == "per_user":
-        ranked = _per_user_corpus(likes, songs, k, pool, mode, stop_words, heavy_history)
+        ranked = _per_user_corpus(likes, songs, k, pool, mode, stop_words, heavy_history, bounded)
     else:
         raise ValueError(f"unknown corpus: {corpus}")
     return ranked.join(details, "song_id").select(
         "user_id", "rank", "song_id", "video_id", "title", "artist", "score")
 
 
-def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode: str,
-                     stop_words: Sequence[str] | None, heavy_history: int) -> DataFrame:
+def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int | None, mode: str,
+                     stop_words: Sequence[str] | None, heavy_history: int, bounded: bool) -> DataFrame:
     candidates = prepare_candidates(songs, pool, mode, stop_words)
     vectors = materialize(song_vectors(songs, candidates, mode, stop_words))
     profiles = weighted_profiles(likes, vectors, candidates, heavy_history)
@@ -269,4 +287,9 @@ def _per_user_corpus(likes: DataFrame, songs: DataFrame, k: int, pool: int, mode
         worded = vectors.where(F.exists("entries", lambda e: e["tf"] > 0)).select("song_id")
         users = pairs.join(worded, "song_id", "left_semi").select("user_id").distinct()
     liked = pairs.join(broadcast_rows(candidates.ids, candidates.size), "song_id", "left_semi")
-    return rank_unliked(content_scores(profiles, candidates), users, liked, candidates.ids, k)
+    if bounded:
+        liked = materialize(liked)
+        scores = bounded_content_scores(profiles, candidates, liked, k)[0]
+    else:
+        scores = content_scores(profiles, candidates)
+    return rank_unliked(scores, users, liked, candidates.ids, k)

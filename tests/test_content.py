@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from likerec.functions.text import default_stop_words
-from likerec.plans import content
+from likerec.plans import boundedtopk, content
 from tests.conftest import LIKES, SONGS, rows
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -150,3 +150,33 @@ def test_document_text(spark):
         ("Song 1   ",), ("Song 1 Artist AArtist A PopPopPop happy, summer",)]
     weighted = dict(rows(content.song_documents(songs, "weighted"), "doc_id", "text"))
     assert weighted[1] == "Song 1 Artist A Artist A Pop Pop Pop happy, summer" and weighted[2].strip() == "Song 1"
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+@pytest.mark.parametrize("pool", [25, None])
+def test_bounds_leave_the_same_rows(spark, monkeypatch, pool, block):
+    monkeypatch.setattr(boundedtopk, "BLOCK_POSTINGS", block)
+    songs = random_songs(13)
+    generator = random.Random(14)
+    likes = {(u, generator.randrange(40)) for u in range(12) for _ in range(generator.randint(1, 9))}
+    assert found(spark, songs, likes, pool=pool, k=3, bounded=True) == brute(songs, likes, 3, pool or 40, "as_coded")
+    assert found(spark, BASIC, set(), bounded=True) == found(spark, BASIC, {(1, 1)}, pool=0, bounded=True) == []
+
+
+def test_most_cells_of_a_large_vocabulary_are_never_made(spark):
+    """Songs with a common word, some often used and some rare ones; users who like a few."""
+    generator = random.Random(15)
+    songs = []
+    for i in range(400):
+        rare = " ".join(f"word{int(300 * generator.random() ** 2)}" for _ in range(3))
+        songs.append(song(i, f"live {rare}", f"band{generator.randrange(60)}"))
+    likes = {(u, generator.randrange(400)) for u in range(25) for _ in range(3)}
+    assert found(spark, songs, likes, pool=None, k=5, bounded=True) == brute(songs, likes, 5, 400, "as_coded")
+
+    rows_ = spark.createDataFrame([(u, s, NOW) for u, s in sorted(likes)], LIKES)
+    table = spark.createDataFrame(songs, SONGS)
+    candidates = content.prepare_candidates(table, None, "as_coded", None)
+    profiles = content.weighted_profiles(rows_, content.song_vectors(table, candidates, "as_coded", None), candidates)
+    _, cells = content.bounded_content_scores(profiles, candidates, rows_.select("user_id", "song_id"), 5)
+    assert content.content_scores(profiles, candidates).count() == 25 * 400
+    assert cells.count() < 0.2 * 25 * 400
