@@ -11,10 +11,8 @@ from likerec.plans import content, hybrid, serving
 from likerec.session import materialize, scratch_folder, shuffle_width, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
-from likerec.streaming.likes import LikeStore
-from likerec.streaming.likes import commit_requests as commit
-from likerec.streaming.likes import stream_likes as run_stream
-from likerec.streaming.likes import stream_recent_likes as read_stream_snapshots
+from likerec.streaming import likes as likes_stream
+from likerec.streaming import tables as stored
 
 # Fixed moments of the checks.
 AS_OF = "2024-02-01 00:00:00"
@@ -413,33 +411,36 @@ def process_requests_suggestions(spark, folder):
     return _rounded(_processed(spark, folder)[1])
 
 
-def _streamed(spark, folder):
-    t = Inputs(spark, folder)
-    path = scratch_folder(spark, "stream")
-    store = LikeStore(spark, f"{path}/tables")
-    store.start(t.users, t.songs, t.likes)
-    incoming = fx.requests(spark, folder, fx.stream_events(spark, folder))
-    stream = run_stream(incoming, store, t.catalog, f"{path}/progress", available_now=True)
+def _finish(stream):
     stream.awaitTermination(600)
     if stream.isActive or stream.exception():
         stream.stop()
         raise RuntimeError(f"stream did not end: {stream.exception()}")
-    return store
+
+
+def _streamed(spark, folder):
+    """The folder of the tables after all requests have been streamed."""
+    t = Inputs(spark, folder)
+    path = scratch_folder(spark, "stream")
+    stored.start_tables(path, t.users, t.songs, t.likes)
+    incoming = fx.requests(spark, folder, fx.stream_events(spark, folder))
+    _finish(likes_stream.stream_likes(incoming, path, t.catalog, f"{path}/progress", available_now=True))
+    return path
 
 
 def _committed(spark, folder):
     """A batch of all requests, run twice under the same number."""
     t = Inputs(spark, folder)
-    store = LikeStore(spark, f"{scratch_folder(spark, 'batch')}/tables")
-    store.start(t.users, t.songs, t.likes)
+    path = scratch_folder(spark, "batch")
+    stored.start_tables(path, t.users, t.songs, t.likes)
     requests = t.request_table
-    commit(store, requests, t.catalog, 0)
-    return store, commit(store, requests, t.catalog, 0)
+    likes_stream.commit_requests(spark, path, requests, t.catalog, 0)
+    return path, likes_stream.commit_requests(spark, path, requests, t.catalog, 0)
 
 
 def commit_requests_likes(spark, folder):
     """The likes that the batch left."""
-    return _committed(spark, folder)[0].read("likes")
+    return stored.read_table(spark, _committed(spark, folder)[0], "likes")
 
 
 def commit_requests_suggestions(spark, folder):
@@ -447,8 +448,10 @@ def commit_requests_suggestions(spark, folder):
 
 
 def stream_likes(spark, folder):
-    return _streamed(spark, folder).read("likes")
+    return stored.read_table(spark, _streamed(spark, folder), "likes")
 
 
 def stream_recent_likes(spark, folder):
-    return read_stream_snapshots(_streamed(spark, folder), SNAPSHOT_AS_OF, ttl=12 * 3600)
+    path = _streamed(spark, folder)
+    _finish(likes_stream.stream_snapshots(spark, path, f"{path}/snapshot-progress", available_now=True))
+    return likes_stream.stream_recent_likes(spark, path, SNAPSHOT_AS_OF, ttl=12 * 3600)

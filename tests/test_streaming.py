@@ -4,11 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from likerec.operators.ingest import explode_requests, resolve_songs, validate_requests
 from likerec.plans import hybrid, serving
 from likerec.schema import REQUESTS
 from likerec.sources.tables import append_rows, load_tables, read_requests, stream_requests
-from likerec.streaming.likes import LikeStore, apply_requests, stream_likes, stream_recent_likes
+from likerec.streaming import tables as stored
+from likerec.streaming.likes import apply_requests, stream_likes, stream_recent_likes, stream_snapshots
 from tests.conftest import LIKES, SONGS, USERS, rows
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -45,80 +45,118 @@ def natural(users, songs, likes):
     return rows(named, "name", "video_id", "created_at")
 
 
+def finish(query):
+    query.awaitTermination(240)
+    assert not query.isActive and query.exception() is None
+    return query
+
+
+def read_all(spark, folder):
+    return (stored.read_table(spark, folder, name) for name in ("users", "songs", "likes"))
+
+
+def moments_agree(spark, folder, writes, moments):
+    for moment in moments:
+        assert rows(stream_recent_likes(spark, folder, moment), "user_id", "song_ids", "ts") == rows(
+            serving.recent_likes_snapshot(writes, moment), "user_id", "song_ids", "ts")
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     users, songs, likes = tables(spark)
     source = write_batches(tmp_path / "in")
-    stored = songs.where("id <= 4")
-    store = LikeStore(spark, str(tmp_path / "store"), buckets=4)
-    store.start(users, stored, likes)
+    first = songs.where("id <= 4")
+    folder = str(tmp_path / "tables")
+    stored.start_tables(folder, users, first, likes)
     stream = stream_requests(spark, source, max_files_per_batch=1)
-    query = stream_likes(stream, store, songs, str(tmp_path / "progress"), available_now=True)
-    query.awaitTermination(240)
-    assert not query.isActive and query.exception() is None
+    query = finish(stream_likes(stream, folder, songs, str(tmp_path / "progress"), available_now=True))
     assert query.lastProgress["batchId"] >= 2  # several micro-batches
 
-    batch = hybrid.store_requests(read_requests(spark, source), users, stored, likes, songs, "2024-01-02")
-    expected = natural(users.unionByName(batch.new_users), stored.unionByName(batch.new_songs),
+    batch = hybrid.store_requests(read_requests(spark, source), users, first, likes, songs, "2024-01-02")
+    expected = natural(users.unionByName(batch.new_users), first.unionByName(batch.new_songs),
                        likes.unionByName(batch.new_likes.select("user_id", "song_id", "created_at")))
-    streamed = natural(store.read("users"), store.read("songs"), store.read("likes"))
+    streamed = natural(*read_all(spark, folder))
     assert streamed == expected and len(streamed) == 6
     for name in ("users", "songs"):
-        ids = [r[0] for r in store.read(name).select("id").collect()]
+        ids = [r[0] for r in stored.read_table(spark, folder, name).select("id").collect()]
         assert sorted(ids) == list(range(1, len(ids) + 1))
 
     replay = read_requests(spark, source).where("request_id in (3, 4)")
-    apply_requests(store, songs)(replay, 1)
-    assert natural(store.read("users"), store.read("songs"), store.read("likes")) == expected
+    apply_requests(folder, songs)(replay, 1)
+    assert natural(*read_all(spark, folder)) == expected
 
-    accepted, _ = validate_requests(read_requests(spark, source))
-    all_songs = store.read("songs")
-    writes = serving.request_song_ids(accepted, resolve_songs(explode_requests(accepted), songs), all_songs)
-    moment = "2024-01-01 00:30:00"
-    assert rows(stream_recent_likes(store, moment), "user_id", "song_ids") == rows(
-        serving.recent_likes_snapshot(writes, moment), "user_id", "song_ids")
-    assert stream_recent_likes(store, "2024-01-01 03:00:00").count() == 0
 
-
-def test_snapshots_do_not_depend_on_micro_batches(spark, tmp_path):
+def test_copies_and_late_requests_over_a_restart(spark, tmp_path):
+    """Each request comes twice, some copies and one late request after a restart from the checkpoint."""
+    users, songs, likes = tables(spark)
+    source = tmp_path / "in"
+    source.mkdir()
+    folder, progress = str(tmp_path / "tables"), str(tmp_path / "progress")
+    stored.start_tables(folder, users, songs, likes)
+    late = request(-300, "u2", 5)  # some hours before all others
+    parts = [[*BATCHES[0], BATCHES[0][0]], [BATCHES[0][1], *BATCHES[1]], [late, *BATCHES[2], BATCHES[0][0], BATCHES[1][1]]]
+    for number, part in enumerate(parts):
+        (source / f"{number}.json").write_text("\n".join(json.dumps(r) for r in part))
+        query = finish(stream_likes(stream_requests(spark, str(source)), folder, songs, progress, available_now=True))
+        assert sum(p["numInputRows"] for p in query.recentProgress) > 0
+    everything = read_requests(spark, str(source)).dropDuplicates(["request_id"])
+    batch = hybrid.store_requests(everything, users, songs, likes, songs, "2024-01-02")
+    assert natural(*read_all(spark, folder)) == natural(
+        users.unionByName(batch.new_users), songs, likes.unionByName(batch.new_likes.select("user_id", "song_id", "created_at")))
+    writes = stored.read_table(spark, folder, "writes")
+    assert rows(writes, "request_id") == sorted([(i,) for i in (-300, 1, 2, 3, 4, 5, 6)], key=repr)  # 7 names no song
+
+
+def test_requests_beyond_the_delay_are_dropped(spark, tmp_path):
     users, songs, likes = tables(spark)
-    requests = read_requests(spark, write_batches(tmp_path / "in"))
-    stores = []
-    for number, cuts in enumerate(([(1, 7)], [(1, 2), (3, 4), (5, 7)])):
-        store = LikeStore(spark, str(tmp_path / f"store{number}"), buckets=4)
-        store.start(users, songs, likes)
-        for batch_id, (first, last) in enumerate(cuts):
-            apply_requests(store, songs)(requests.where(F.col("request_id").between(first, last)), batch_id)
-        stores.append(store)
-    for moment in ("2024-01-01 00:00:30", "2024-01-01 00:01:00", "2024-01-01 00:03:30", "2024-01-01 00:59:00"):
-        one, several = (rows(stream_recent_likes(s, moment), "user_id", "song_ids", "ts") for s in stores)
-        assert one == several
-        assert len(one) == len({r["user_id"] for b in BATCHES for r in b if r["ts"] <= moment.replace(" ", "T")})
-
-
-def test_merging_bounds_what_a_batch_reads(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    folder = str(tmp_path / "tables")
+    stored.start_tables(folder, users, songs, likes)
+    for number, part in enumerate([[request(1, "u1", 3)], [request(600, "u1", 4)], [request(2, "u2", 6)]]):
+        (source / f"{number}.json").write_text("\n".join(json.dumps(r) for r in part))
+        finish(stream_likes(stream_requests(spark, str(source)), folder, songs, str(tmp_path / "progress"), available_now=True, delay="1 hour"))
+    assert rows(stored.read_table(spark, folder, "writes"), "request_id") == [(1,), (600,)]
+
+
+def test_snapshots_that_the_stream_keeps(spark, tmp_path):
+    """Equal to those made of all writes, whatever the micro-batches, at the ends of slices and over a restart."""
     users, songs, likes = tables(spark)
-    requests = read_requests(spark, write_batches(tmp_path / "in"))
-    store = LikeStore(spark, str(tmp_path / "store"), buckets=2)
-    store.start(users, songs, likes)
-    apply = apply_requests(store, songs)
-    apply(requests.where("request_id <= 2"), 0)
-    second = {name: len(store.read(name, 1).inputFiles()) for name in ("users", "songs", "likes", "ids")}
-    for batch_id in range(1, 6):
-        apply(requests.where(F.col("request_id") == batch_id + 2), batch_id)
-    before = {name: rows(store.read(name), *store.read(name).columns) for name in second}
-    store.merge(5)
-    assert {name: len(store.read(name, 6).inputFiles()) <= n for name, n in second.items()} == dict.fromkeys(second, True)
-    for name in ("users", "songs", "likes"):
-        assert rows(store.read(name), *store.read(name).columns) == before[name]
-    apply(requests.where("request_id <= 2"), 6)
-    assert rows(store.read("likes"), *store.read("likes").columns) == before["likes"]
+    folder = str(tmp_path / "tables")
+    stored.start_tables(folder, users, songs, likes)
+    minutes = [3, 9, 10, 11, 12, 29, 30, 31, 55, 61, 70, 130, 10, 30, 200]
+    names = ["u1", "u2", "u3"]
+    everything = [request(m, names[k % 3], 1 + k % 7, 1 + (k * 3) % 7) | {"request_id": 100 + k} for k, m in enumerate(minutes)]
+    for batch_id, part in enumerate((everything[:5], everything[9:], everything[5:9])):
+        path = tmp_path / f"part{batch_id}"
+        path.mkdir()
+        (path / "requests.json").write_text("\n".join(json.dumps(r) for r in part))
+        apply_requests(folder, songs)(read_requests(spark, str(path)), batch_id)
+        finish(stream_snapshots(spark, folder, str(tmp_path / "progress"), available_now=True))
+    writes = stored.read_table(spark, folder, "writes")
+    moments_agree(spark, folder, writes, ["2024-01-01 00:10:00", "2024-01-01 00:30:00", "2024-01-01 01:10:00", "2024-01-01 03:10:00", "2024-01-02 00:00:00"])
+    slices = stream_recent_likes(spark, folder, "2024-01-01 01:10:00")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(slice" in slices
     try:
-        store.read("likes", 3)
-        raise AssertionError("a merged batch was read as of its past")
+        stream_recent_likes(spark, folder, "2024-01-01 00:05:00")
+        raise AssertionError("a moment within a slice was read")
     except ValueError:
         pass
 
 
+def test_a_batch_reads_the_parts_of_its_keys_only(spark, tmp_path):
+    users, songs, likes = tables(spark)
+    folder = str(tmp_path / "tables")
+    stored.start_tables(folder, users, songs, likes)
+    keys = spark.createDataFrame([(2, 2), (2, 3), (9, 9)], "owner long, song_id long")
+    found = stored.read_keys(spark, folder, "likes", keys)
+    assert rows(found, "user_id", "song_id") == [(2, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stored_side = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert "dynamicpruning" in stored_side
+    above = stored_side[:stored_side.index("FileScan")]
+    assert "Exchange" not in above and "BroadcastHashJoin" in above
+
+
 def test_tables_round_trip(spark, tmp_path):
     users, songs, likes = tables(spark)
     for name, rows_ in (("users", users), ("songs", songs), ("likes", likes)):
