@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likerec.schema import LIKES, SONGS, USERS
+from likerec.session import materialize
 
 PARTS = 64
 
@@ -54,10 +55,11 @@ def read_table(spark: SparkSession, folder: str, name: str, before_batch: int |
 def read_keys(spark: SparkSession, folder: str, name: str, keys: DataFrame, before_batch: int | None = None) -> DataFrame:
     """Rows whose key columns are in ``keys``, the table's key (of any name) first; only parts that hold such keys are read.
 
-    While ``keys`` can be broadcast, as those of a batch can, stored rows are not shuffled.
+    The keys are stored first, so that their size is known: while they can be broadcast, as those of a batch can, stored
+    rows are not shuffled.
     """
     columns = [KEYS[name], *keys.columns[1:]]
-    wanted = _with_part(keys.toDF(*columns).distinct(), KEYS[name]).where(F.col("part") >= 0)
+    wanted = _with_part(materialize(keys.toDF(*columns).distinct()), KEYS[name]).where(F.col("part") >= 0)
     return _stored(spark, folder, name, before_batch).join(wanted, ["part", *columns], "left_semi").select(*SCHEMAS[name].names)
 
 
