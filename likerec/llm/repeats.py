@@ -246,8 +246,10 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
         )
 
     listed = (
-        keys.join(shared(keys), "key", "left_semi").distinct()
-        .groupBy("ref").agg(F.collect_list(F.struct("start", "stop", "key", "again")).alias("listed"))
+        # Equal texts give equal rows; a set takes them once, and nothing between the join and the shuffle by text
+        # keeps Spark from splitting a key that very many texts have.
+        keys.join(shared(keys), "key", "left_semi")
+        .groupBy("ref").agg(F.collect_set(F.struct("start", "stop", "key", "again")).alias("listed"))
         .join(texts.select("ref", "keeper"), "ref")
     )
     # One row of equal texts is cut into segments.
