@@ -224,6 +224,7 @@ PICKED = """picked AS (
 TYPES = {"rank": "INTEGER", "position": "INTEGER", "score": "DOUBLE"}
 TYPED = {
     "rank_unliked": ("rank",), "collaborative_suggestions": ("rank",), "collaborative_suggestions_spread": ("rank",),
+    "collaborative_suggestions_refreshed": ("rank",),
     "content_suggestions": ("rank",), "content_suggestions_spread": ("rank",),
     "content_suggestions_bounded": ("rank",), "content_suggestions_of_all_songs": ("rank",),
     "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
@@ -469,6 +470,8 @@ def build() -> dict[str, str]:
         SELECT user_id, song_id, first_ts FROM new_likes""")
     sql["commit_requests_likes"] = sql["stream_likes"]
     sql["commit_requests_suggestions"] = sql["process_requests_suggestions"]
+    sql["similar_users_refreshed"] = sql["similar_users"]
+    sql["collaborative_suggestions_refreshed"] = sql["collaborative_suggestions"]
     sql["collaborative_suggestions_spread"] = sql["collaborative_suggestions"]
     sql["content_suggestions_bounded"] = sql["content_suggestions"]
     sql["content_suggestions_of_all_songs"] = sql["content_suggestions"].replace("ORDER BY updated_at DESC, id LIMIT 1000", "")

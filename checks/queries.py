@@ -120,6 +120,26 @@ def collaborative_suggestions_spread(spark, folder):
     return colikes.collaborative_suggestions(t.like_table, t.songs, block_fans=8)
 
 
+def _refreshed(spark, folder):
+    """Pairs and suggestions of the likes before a moment, refreshed by the likes since."""
+    t = Inputs(spark, folder)
+    likes = t.like_table
+    new = F.col("created_at") >= F.lit("1998-07-01").cast("timestamp_ntz")
+    old = materialize(likes.where(~new))
+    pairs, tops = materialize(colikes.similar_users(old)), materialize(colikes.collaborative_suggestions(old, t.songs))
+    pairs, touched = colikes.refresh_similar_users(pairs, likes, likes.where(new))
+    pairs = materialize(pairs)
+    return pairs, colikes.refresh_suggestions(tops, pairs, touched, likes, t.songs)
+
+
+def similar_users_refreshed(spark, folder):
+    return _refreshed(spark, folder)[0]
+
+
+def collaborative_suggestions_refreshed(spark, folder):
+    return _refreshed(spark, folder)[1]
+
+
 def table_append_and_read(spark, folder):
     """Likes written in two appends and read back with the fixed schema."""
     t = Inputs(spark, folder)

@@ -3,8 +3,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from likerec.operators import colikes
+from likerec.session import materialize
 from tests.conftest import LIKES, SONGS, rows
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -104,3 +106,26 @@ def test_collaborative_for_wanted_users(spark):
 
 def test_no_likes_no_rows(spark):
     assert colikes.collaborative_suggestions(frame(spark, set()), song_frame(spark)).count() == 0
+
+
+@pytest.mark.parametrize("min_common", [1, 2, 3])
+def test_refreshed_pairs_and_lists_equal_those_of_one_run(spark, min_common):
+    """Three batches of likes, the last one empty; lists of users whom nothing touches are not made anew."""
+    everything = sorted(make_likes(21, n_users=60, n_songs=60, hot_song=False))
+    random.Random(3).shuffle(everything)
+    songs, columns = song_frame(spark, 61), ("user_id", "rank", "song_id", "n_users")
+    held = set(everything[:-12])
+    pairs = colikes.similar_users(frame(spark, held), min_common)
+    tops = colikes.collaborative_suggestions(frame(spark, held), songs, 5, min_common)
+    for batch in (everything[-12:-8], everything[-8:], []):
+        held |= set(batch)
+        before = rows(tops, *columns)
+        pairs, touched = colikes.refresh_similar_users(pairs, frame(spark, held), frame(spark, batch), min_common)
+        pairs, who = materialize(pairs), {r[0] for r in touched.collect()}
+        marked = tops.withColumn("n_users", F.when(F.col("user_id").isin(list(who)), -1).otherwise(F.col("n_users")))
+        tops = materialize(colikes.refresh_suggestions(marked, pairs, touched, frame(spark, held), songs, 5))
+        assert rows(pairs, "user_id", "similar_user_id", "n_common") == sorted(
+            [(u, v, n) for (u, v), n in brute_similar(held, min_common).items()], key=repr)
+        assert rows(tops, *columns) == sorted(brute_top(held, min_common, 5), key=repr)
+        assert [r for r in before if r[0] not in who] == [r for r in rows(tops, *columns) if r[0] not in who]
+        assert len(who) < 60 and (batch or not who)

@@ -41,8 +41,7 @@ def made(seed, words=12):
     return queries, forms
 
 
-@pytest.mark.parametrize("similarity", [0.51, 0.6, 0.8])
-@pytest.mark.parametrize("common", [0, 20, 256])
+@pytest.mark.parametrize(("similarity", "common"), [(0.51, 0), (0.6, 20), (0.8, 0), (0.6, 256)])
 def test_closest_forms_like_brute_force(spark, similarity, common):
     queries, forms = made(int(similarity * 100) + common)
     got = search.closest_forms(spark.createDataFrame([(q,) for q in queries], "query string").repartition(3),
