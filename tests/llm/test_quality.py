@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -121,3 +122,30 @@ def test_toxicity_edge_cases(spark):
 def test_sentences_cover_all_words():
     text = "First one. Second one! third\n\nfourth " + "word " * 200 + "end"
     assert " ".join(text[a:b] for a, b in toxicity.sentences(text)).split() == text.split()
+
+
+def plain_score(model, text):
+    """1 - product of (1 - p) over sentences, those that are not offending together as a usual document's at most."""
+    odds = []
+    for a, b in toxicity.sentences(text):
+        total = model.bias
+        for word in text[a:b].split():
+            word = word.lower().strip(toxicity.EDGES)
+            total += sum(model.weights.get(f, 0.0) for f in ([word] + [word[:n] + "*" for n in (4, 5, 6) if len(word) > n] if word else []))
+        odds.append(1 / (1 + math.exp(-total)))
+    weak = [p for p in odds if p < 0.5]
+    share = min(1.0, model.usual / len(weak)) if weak else 1.0
+    log_clean = sum(math.log1p(-p) for p in odds if p >= 0.5) + share * sum(math.log1p(-p) for p in weak)
+    return 1 - math.exp(log_clean), sum(p >= 0.5 for p in odds)
+
+
+def test_scores_like_a_plain_noisy_or(spark):
+    docs, labels = labelled(4, 500)
+    model = toxicity.fit_from_labels(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = [(k, t or "") for k, t in docs] + [(10_000 + k, r[1] or "") for k, r in enumerate(edge.rows(2))]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", "score", "offending").collect()
+    texts = dict(rows)
+    for r in got:
+        score, offending = plain_score(model, texts[r["doc_id"]])
+        assert abs(r["score"] - score) < 1e-9 and len(r["offending"]) == offending
+    assert len(got) == len(rows) and any(r["score"] > 0.7 for r in got)
