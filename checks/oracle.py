@@ -230,6 +230,7 @@ TYPED = {
     "content_suggestions_weighted": ("rank",), "content_suggestions_shared_corpus": ("rank",),
     "popular_by_genre": ("rank", "score"), "popular_for_requests": ("rank", "score"),
     "collaborative_or_popular": ("rank", "score"), "suggest": ("rank", "score"), "suggest_combined": ("rank", "score"),
+    "suggest_fused": ("rank", "score"),
     "process_requests_suggestions": ("rank", "score"), "commit_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
     "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",), "resolve_misspelled_songs": ("position",),
     "reusable_searches": ("position",),
@@ -370,6 +371,29 @@ def build() -> dict[str, str]:
         listed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place, rank) AS final_rank FROM once)""",
         final="""SELECT u.user_id, l.final_rank AS rank, l.title, l.artist, l.video_id AS youtube_video_id, l.score, l.source
         FROM listed l JOIN fx_users u ON u.id = l.user_id WHERE l.final_rank <= 15""")
+    share = """{kind}_own AS (
+          SELECT l.user_id, lower(coalesce(s.{kind}, '')) AS v, count(*) AS n FROM fx_likes l JOIN fx_songs s ON s.id = l.song_id GROUP BY ALL),
+        {kind}_all AS (SELECT v, sum(n) / (SELECT sum(n) FROM {kind}_own) AS share FROM {kind}_own GROUP BY v)"""
+    sql["suggest_fused"] = with_ctes(
+        USERS, SONGS, LIKES, SIMILAR, COLLABORATIVE, content(), popular(k=20), share.format(kind="genre"), share.format(kind="artist"), """
+        pooled AS (
+          SELECT user_id, song_id, rank, 'collaborative' AS source FROM collaborative WHERE rank <= 20
+          UNION ALL SELECT u.id, p.song_id, p.rank, 'popular' FROM fx_users u CROSS JOIN popular p WHERE p.is_global
+          UNION ALL SELECT user_id, song_id, rank, 'content' FROM content WHERE rank <= 20),
+        fused AS (
+          SELECT user_id, song_id, sum(1.0::DOUBLE / (60 + rank)) AS fused, list_sort(list(source)) AS sources FROM pooled p
+          WHERE NOT EXISTS (SELECT 1 FROM fx_likes l WHERE l.user_id = p.user_id AND l.song_id = p.song_id) GROUP BY user_id, song_id),
+        own AS (SELECT user_id, count(*) AS h FROM fx_likes GROUP BY user_id),
+        weighed AS (
+          SELECT f.*, s.video_id, s.title, s.artist,
+                 fused * (1 + (coalesce(g.n, 0) + 10 * coalesce(ga.share, 0)) / (coalesce(o.h, 0) + 10)
+                            + (coalesce(a.n, 0) + 10 * coalesce(aa.share, 0)) / (coalesce(o.h, 0) + 10)) AS score
+          FROM fused f JOIN fx_songs s ON s.id = f.song_id LEFT JOIN own o USING (user_id)
+          LEFT JOIN genre_own g ON g.user_id = f.user_id AND g.v = lower(coalesce(s.genre, '')) LEFT JOIN genre_all ga ON ga.v = lower(coalesce(s.genre, ''))
+          LEFT JOIN artist_own a ON a.user_id = f.user_id AND a.v = lower(coalesce(s.artist, '')) LEFT JOIN artist_all aa ON aa.v = lower(coalesce(s.artist, ''))),
+        listed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY floor(score * 1e9 + 0.5) DESC, song_id) AS rank FROM weighed)""",
+        final="""SELECT u.user_id, l.rank, l.title, l.artist, l.video_id AS youtube_video_id, round(l.score, 6) AS score, l.sources
+        FROM listed l JOIN fx_users u ON u.id = l.user_id WHERE l.rank <= 10""")
     sql["to_suggestions"] = with_ctes(SONGS, final="""
         SELECT id, title, artist, CASE WHEN genre IS NOT NULL AND tags IS NOT NULL THEN video_id
           ELSE concat('y', CAST(id AS VARCHAR)) END AS youtube_video_id FROM fx_songs""")

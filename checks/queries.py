@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from likerec.functions import suggestions as shapes
 from likerec.functions.text import normalize_query
 from likerec.operators import colikes, ingest, lookup, popularity, profiles, textvectors, writes
-from likerec.plans import content, hybrid, serving
+from likerec.plans import content, fusion, hybrid, serving
 from likerec.session import materialize, scratch_folder, shuffle_width, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
@@ -314,6 +314,11 @@ def suggest_combined(spark, folder):
                                    order=("collaborative", "popular", "content")))
 
 
+def suggest_fused(spark, folder):
+    t = Inputs(spark, folder)
+    return _rounded(fusion.fused_suggestions(t.users, t.like_table, t.songs))
+
+
 def to_suggestions(spark, folder):
     songs = Inputs(spark, folder).songs
     video_id = F.when(F.col("genre").isNull(), "").when(F.col("tags").isNotNull(), F.col("video_id"))

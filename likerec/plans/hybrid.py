@@ -21,7 +21,7 @@ ORDER = ("content", "collaborative", "popular")
 _COLUMNS = ("user_id", "rank", "song_id", "video_id", "title", "artist", "score", "source")
 
 
-def _branch(source: str, targets: DataFrame, likes: DataFrame, songs: DataFrame, k: int, options: dict,
+def branch(source: str, targets: DataFrame, likes: DataFrame, songs: DataFrame, k: int, options: dict,
             everyone: bool) -> DataFrame:
     """One kind of suggestion for the users in ``targets`` (user_id, genre)."""
     wanted = None if everyone else targets
@@ -43,7 +43,7 @@ def _first_non_empty(targets: DataFrame, likes: DataFrame, songs: DataFrame, k:
     users that still have none, and is left out when there are no such users."""
     remaining, result = targets, None
     for position, source in enumerate(order):
-        rows = materialize(_branch(source, remaining, likes, songs, k, options, everyone and position == 0))
+        rows = materialize(branch(source, remaining, likes, songs, k, options, everyone and position == 0))
         result = rows if result is None else result.unionByName(rows)
         if position + 1 == len(order):
             break
@@ -57,7 +57,7 @@ def _combined(targets: DataFrame, likes: DataFrame, songs: DataFrame, k: int, or
               options: dict, everyone: bool) -> DataFrame:
     """All sources together: each video once, from the first source that has it, then the best ``k``."""
     parts = [
-        _branch(source, targets, likes, songs, k, options, everyone).withColumn("place", F.lit(position))
+        branch(source, targets, likes, songs, k, options, everyone).withColumn("place", F.lit(position))
         for position, source in enumerate(order)
     ]
     rows = parts[0]
