@@ -233,7 +233,7 @@ TYPED = {
     "suggest_fused": ("rank", "score"),
     "process_requests_suggestions": ("rank", "score"), "commit_requests_suggestions": ("rank", "score"), "search_responses_first": ("position",),
     "search_responses_all": ("position", "score"), "explode_requests": ("position",), "resolve_songs": ("position",), "resolve_misspelled_songs": ("position",),
-    "reusable_searches": ("position",),
+    "reusable_searches": ("position",), "stream_reusable_searches": ("position",),
 }
 
 
@@ -489,6 +489,7 @@ def build() -> dict[str, str]:
           CASE WHEN i.ts < l.ts + CASE WHEN l.hit THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END THEN l.ts END AS lookup_ts,
           CASE WHEN i.ts < l.ts + CASE WHEN l.hit THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END THEN l.hit END AS hit
         FROM items i ASOF LEFT JOIN lookups l ON l.query = i.query AND l.ts <= i.ts WHERE i.query IS NOT NULL""")
+    sql["stream_reusable_searches"] = sql["reusable_searches"]
     sql["stream_likes"] = with_ctes(*requests, final="""
         SELECT user_id, song_id, created_at FROM st_likes UNION ALL
         SELECT user_id, song_id, first_ts FROM new_likes""")

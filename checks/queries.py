@@ -12,6 +12,7 @@ from likerec.session import materialize, scratch_folder, shuffle_width, tune
 from likerec.sources import tables
 from likerec.sources import testtables as fx
 from likerec.streaming import likes as likes_stream
+from likerec.streaming import searches as searches_stream
 from likerec.streaming import tables as stored
 
 # Fixed moments of the checks.
@@ -401,13 +402,29 @@ def liked_songs_as_served(spark, folder):
     return serving.liked_songs_as_served(t.users, snapshot, t.users, t.likes, songs)
 
 
-def reusable_searches(spark, folder):
+def _searched(spark, folder):
+    """The searches of all requests, and a lookup for each of them."""
     t = Inputs(spark, folder)
     items = t.items(t.request_table)
     resolved = ingest.resolve_songs(items, t.catalog, keep_unresolved=True)
     lookups = resolved.where(F.col("query").isNotNull()).select(
         "query", "ts", F.col("video_id").isNotNull().alias("hit"))
-    return serving.reusable_searches(items, lookups)
+    return items, lookups
+
+
+def reusable_searches(spark, folder):
+    return serving.reusable_searches(*_searched(spark, folder))
+
+
+def stream_reusable_searches(spark, folder):
+    """Searches and lookups as two streams."""
+    path = scratch_folder(spark, "searches")
+    sides = []
+    for name, rows in zip(("searches", "lookups"), _searched(spark, folder)):
+        rows.write.parquet(f"{path}/{name}")
+        sides.append(spark.readStream.schema(rows.schema).parquet(f"{path}/{name}"))
+    _finish(searches_stream.stream_reusable_searches(*sides, f"{path}/answers", f"{path}/progress", available_now=True))
+    return searches_stream.read_reusable_searches(spark, f"{path}/answers")
 
 
 def _processed(spark, folder):

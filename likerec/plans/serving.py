@@ -78,6 +78,17 @@ def liked_songs_as_served(wanted: DataFrame, snapshot: DataFrame, users: DataFra
     return cached.unionByName(full)
 
 
+def still_valid(answered: DataFrame) -> DataFrame:
+    """Searches with their latest lookup as ``answer`` (lookup_ts, hit), which is cleared where its time is over."""
+    ttl = F.when(F.col("answer.hit"), HIT_SECONDS).otherwise(EMPTY_SECONDS)
+    valid = F.col("ts") < _later(F.col("answer.lookup_ts"), ttl)
+    return answered.select(
+        "request_id", "position", "ts", "query",
+        F.when(valid, F.col("answer.lookup_ts")).alias("lookup_ts"),
+        F.when(valid, F.col("answer.hit")).alias("hit"),
+    )
+
+
 def reusable_searches(searches: DataFrame, lookups: DataFrame, bucket: str = "minute") -> DataFrame:
     """Each search with the earlier lookup that can answer it, if any.
 
@@ -116,11 +127,4 @@ def reusable_searches(searches: DataFrame, lookups: DataFrame, bucket: str = "mi
         .join(carried, ["query", "bucket"], "left")
         .withColumn("answer", F.coalesce("inside", "carried"))
     )
-    ttl = F.when(F.col("answer.hit"), HIT_SECONDS).otherwise(EMPTY_SECONDS)
-    valid = F.col("ts") < _later(F.col("answer.lookup_ts"), ttl)
-    return answered.select(
-        "request_id", "position", "ts", "query",
-        F.when(valid, F.col("answer.lookup_ts")).alias("lookup_ts"),
-        F.when(valid, F.col("answer.hit")).alias("hit"),
-    )
-
+    return still_valid(answered)
