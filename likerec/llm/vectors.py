@@ -10,6 +10,9 @@ tables follows from the number of signs so that a pair just at the threshold is
 ``MISSED`` at most. A pair is judged in the first table where it meets, which the rows' bucket numbers tell, so
 links can be counted without storing pairs. Large buckets are cut into blocks that meet in cells, pair by pair of
 blocks. Equal vectors are one row throughout.
+
+Only codes travel to all tables: signs, factor, the rotated vector in a byte per coordinate, bucket numbers. They
+leave few rows of a cell with a pair that may reach the threshold; just these rows' vectors are sent there.
 """
 
 from __future__ import annotations
@@ -63,27 +66,137 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _bucket_rows(signs: int, tables: int):
+def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of vectors of one length, at most 1,000 at a time, and the vectors."""
+    offsets, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+    lengths = np.diff(offsets)
+    for dimension in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dimension)
+        for part in np.array_split(at, -(-len(at) // 1000)):
+            yield part, values[offsets[part][:, None] + np.arange(dimension)].astype(np.float64)
+
+
+def _number_type(signs: int) -> type:
+    return np.uint8 if signs <= 8 else np.uint16 if signs <= 16 else np.int32
+
+
+def _factors(code: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correction factors of codes, and how far an estimate by them may be off."""
+    dimension = turned.shape[1]
+    factor = np.maximum((code * turned).sum(axis=1), 1e-6)
+    return factor, CONFIDENCE * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dimension - 1))
+
+
+def _signs(turned: np.ndarray) -> np.ndarray:
+    return np.where(turned > 0, 1, -1).astype(np.float32) / np.float32(math.sqrt(turned.shape[1]))
+
+
+def _code_rows(signs: int, tables: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's code, once per table."""
         for batch in source:
-            node, copies = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            vectors = batch.column("vector")
-            lengths = np.diff(vectors.offsets.to_numpy())
-            for dimension in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == dimension)
-                for part in np.array_split(at, -(-len(at) // 1000)):
-                    own = np.stack([vectors[int(i)].values.to_numpy() for i in part]).astype(np.float64)
-                    own = own / np.abs(own).max(axis=1, keepdims=True)
-                    own /= np.linalg.norm(own, axis=1, keepdims=True)
-                    buckets = bucket_numbers(own, signs, tables).astype(np.int32)
-                    packed = [row.tobytes() for row in own]
-                    numbers = [row.tobytes() for row in buckets]
-                    for t in range(tables):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(part), dimension, np.int32)), pa.array(np.full(len(part), t, np.int32)),
-                             pa.array(buckets[:, t]), pa.array(node[part]), pa.array(copies[part]),
-                             pa.array(numbers, pa.binary()), pa.array(packed, pa.binary())],
-                            names=["dim", "tab", "bucket", "node", "n", "buckets", "unit"])
+            node = batch.column("node").to_numpy()
+            for part, vectors in _by_length(batch.column("vector")):
+                unit = _unit_rows(vectors)
+                dimension = unit.shape[1]
+                buckets = bucket_numbers(unit, signs, tables).astype(np.int32)
+                turned = (unit @ rotation(dimension, 0)).astype(np.float32)
+                step = np.maximum(np.abs(turned).max(axis=1), np.float32(1e-30)) / np.float32(127)
+                levels = np.rint(turned / step[:, None]).astype(np.int8)
+                packed = np.packbits(turned > 0, axis=1)
+                codes = [own.tobytes() + level.tobytes() for own, level in zip(packed, levels)]
+                numbers = [row.tobytes() for row in buckets.astype(_number_type(signs))]
+                factor = _factors(_signs(turned), turned)[0].astype(np.float32)
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), dimension, np.int32)), pa.array(np.full(len(part), t, np.int32)),
+                         pa.array(buckets[:, t]), pa.array(node[part]), pa.array(factor), pa.array(step),
+                         pa.array(numbers, pa.binary()), pa.array(codes, pa.binary())],
+                        names=["dim", "tab", "bucket", "node", "factor", "step", "buckets", "code"])
+    return rows
+
+
+class _Codes:
+    """The codes (node, factor, step, buckets, code, block) of one block in a cell."""
+
+    def __init__(self, batch: list[tuple], dimension: int, numbers: type):
+        signs = -(-dimension // 8)
+        packed = np.frombuffer(b"".join(row[4] for row in batch), np.uint8).reshape(len(batch), signs + dimension)
+        bits = np.unpackbits(packed[:, :signs], axis=1, count=dimension)
+        step = np.array([row[2] for row in batch], np.float32)
+        self.code = (bits.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dimension))
+        self.turned = packed[:, signs:].view(np.int8).astype(np.float32) * step[:, None]
+        self.factor = np.array([row[1] for row in batch], np.float32)
+        self.bound = CONFIDENCE * np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, dimension - 1))
+        # What rounding to bytes can do to a product with a code at most, and some for the floats themselves.
+        self.rounding = step * np.float32(math.sqrt(dimension) / 2) + np.float32(1e-4)
+        self.buckets = np.stack([np.frombuffer(row[3], numbers) for row in batch])
+
+
+def _open_rows_of(a: _Codes, b: _Codes, same: bool, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``a`` and of ``b`` are in a pair that first meets in ``table`` and whose bound reaches the threshold."""
+    open_a, open_b = np.zeros(len(a.code), bool), np.zeros(len(b.code), bool)
+    step = max(1, (1 << 22) // max(1, len(b.code)))
+    for start in range(0, len(a.code), step):
+        rows = slice(start, start + step)
+        reach = (a.code[rows] @ b.turned.T + b.rounding) / a.factor[rows, None] + a.bound[rows, None]
+        possible = reach >= threshold
+        if same:
+            possible &= np.arange(len(b.code))[None, :] > np.arange(start, start + len(reach))[:, None]
+        i, j = np.nonzero(possible)
+        i += start
+        for at in range(0, len(i), EXACT_AT_ONCE):
+            x, y = i[at: at + EXACT_AT_ONCE], j[at: at + EXACT_AT_ONCE]
+            new = ~(a.buckets[x, :table] == b.buckets[y, :table]).any(axis=1)
+            open_a[x[new]] = True
+            open_b[y[new]] = True
+    return open_a, open_b
+
+
+CELL = ["dim", "tab", "bucket", "first", "second"]
+
+
+def _cells_of(source: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by cell, as (cell, rows); a cell has two blocks of rows at most."""
+    current, held = None, []
+    for batch in source:
+        values = [batch.column(k).to_pylist() for k in (*CELL, *columns)]
+        for row in zip(*values):
+            if row[: len(CELL)] != current:
+                if len(held) > 1:
+                    yield current, held
+                current, held = row[: len(CELL)], []
+            held.append(row[len(CELL):])
+    if len(held) > 1:
+        yield current, held
+
+
+def _open_rows(signs: int, threshold: float):
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each cell whose vectors are needed there."""
+        for cell, held in _cells_of(source, ["node", "factor", "step", "buckets", "code", "block"]):
+            dimension, table, _, first, second = cell
+            of_first, of_second = ([row for row in held if row[5] == block] for block in (first, second))
+            if not of_first or not of_second:
+                continue
+            a = _Codes(of_first, dimension, _number_type(signs))
+            b = a if first == second else _Codes(of_second, dimension, _number_type(signs))
+            open_a, open_b = _open_rows_of(a, b, a is b, table, threshold)
+            if a is b:
+                found = [of_first[k] for k in np.flatnonzero(open_a | open_b).tolist()]
+            else:
+                found = [side[k] for side, is_open in ((of_first, open_a), (of_second, open_b)) for k in np.flatnonzero(is_open).tolist()]
+            numbers = [np.frombuffer(row[3], _number_type(signs)).astype(np.int32).tobytes() for row in found]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(np.full(len(found), value, np.int32)) for value in cell], pa.array([row[0] for row in found], pa.int64()),
+                 pa.array(numbers, pa.binary()), pa.array([row[5] for row in found], pa.int32())],
+                names=[*CELL, "node", "buckets", "block"])
+
     return rows
 
 
@@ -95,11 +208,9 @@ class _Rows:
         self.copies = np.array([row[1] for row in batch], np.int64)
         self.buckets = np.stack([np.frombuffer(row[2], np.int32) for row in batch])
         self.unit = np.stack([np.frombuffer(row[3], np.float64) for row in batch])
-        dimension = self.unit.shape[1]
-        self.turned = (self.unit @ rotation(dimension, 0)).astype(np.float32)
-        self.code = np.where(self.turned > 0, 1, -1).astype(np.float32) / np.float32(math.sqrt(dimension))
-        self.factor = np.maximum((self.code * self.turned).sum(axis=1), 1e-6)
-        self.bound = CONFIDENCE * np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, dimension - 1))
+        self.turned = (self.unit @ rotation(self.unit.shape[1], 0)).astype(np.float32)
+        self.code = _signs(self.turned)
+        self.factor, self.bound = _factors(self.code, self.turned)
 
 
 def linked_pairs(a: _Rows, b: _Rows, same: bool, table: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,26 +273,21 @@ def _cell_links(rows: list[tuple], cell: tuple, threshold: float) -> tuple[dict[
 
 def _link_rows(threshold: float):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by cell; a cell has two blocks of rows at most."""
-        current, held = None, []
-
-        def made() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                counted, forest = _cell_links(held, current, threshold)
-                a = [*counted, *[x for x, _ in forest]]
-                b = [None] * len(counted) + [y for _, y in forest]
-                n = [*counted.values()] + [0] * len(forest)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["a", "b", "n"])
-
-        for batch in source:
-            columns = [batch.column(k).to_pylist() for k in ("dim", "tab", "bucket", "first", "second", "node", "n", "buckets", "unit", "block")]
-            for *cell, node, n, buckets, unit, block in zip(*columns):
-                if tuple(cell) != current:
-                    yield from made()
-                    current, held = tuple(cell), []
-                held.append((node, n, buckets, unit, block))
-        yield from made()
+        def with_units() -> Iterator[pa.RecordBatch]:
+            for batch in source:
+                units = [b""] * batch.num_rows
+                for part, vectors in _by_length(batch.column("vector")):
+                    for place, unit in zip(part.tolist(), _unit_rows(vectors)):
+                        units[place] = unit.tobytes()
+                yield batch.append_column("unit", pa.array(units, pa.binary()))
+
+        for cell, held in _cells_of(with_units(), ["node", "n", "buckets", "unit", "block"]):
+            counted, forest = _cell_links(held, cell, threshold)
+            a = [*counted, *[x for x, _ in forest]]
+            b = [None] * len(counted) + [y for _, y in forest]
+            n = [*counted.values()] + [0] * len(forest)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())],
+                                             names=["a", "b", "n"])
 
     return rows
 
@@ -208,24 +314,28 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
         "vectors-distinct")
     signs, tables = table_shape(distinct.count(), threshold)
 
-    schema = "dim int, tab int, bucket int, node long, n long, buckets binary, unit binary"
-    bucketed = distinct.select("node", "n", "vector").mapInArrow(_bucket_rows(signs, tables), schema)
+    schema = "dim int, tab int, bucket int, node long, factor float, step float, buckets binary, code binary"
+    coded = distinct.select("node", "vector").mapInArrow(_code_rows(signs, tables), schema)
     large = stash(
-        bucketed.groupBy("dim", "tab", "bucket").count().where(F.col("count") > BLOCK_ROWS)
+        coded.groupBy("dim", "tab", "bucket").count().where(F.col("count") > BLOCK_ROWS)
         .withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).drop("count"),
         "vectors-large-buckets")
     blocks = F.coalesce("blocks", F.lit(1))
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")))
     dealt = (
-        bucketed.join(broadcast_bounded(large, 64), ["dim", "tab", "bucket"], "left")
+        coded.join(broadcast_bounded(large, 64), ["dim", "tab", "bucket"], "left")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("cell", F.explode(cells))
-        .select("dim", "tab", "bucket", "cell.first", "cell.second", "node", "n", "buckets", "unit", "block")
+        .select("dim", "tab", "bucket", "cell.first", "cell.second", "node", "factor", "step", "buckets", "code", "block")
     )
-    cell = ["dim", "tab", "bucket", "first", "second"]
+    in_open_pairs = stash(
+        dealt.repartition(*CELL).sortWithinPartitions(*CELL)
+        .mapInArrow(_open_rows(signs, threshold), ", ".join(f"{c} int" for c in CELL) + ", node long, buckets binary, block int"),
+        "vectors-open")
+    fetched = in_open_pairs.join(distinct.select("node", "n", "vector"), "node").select(*CELL, "node", "n", "buckets", "vector", "block")
     links = stash(
-        dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_link_rows(threshold), "a long, b long, n long"),
+        fetched.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_link_rows(threshold), "a long, b long, n long"),
         "vectors-links")
 
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))

@@ -83,3 +83,24 @@ def test_estimates_are_unbiased():
     error = (rows.code[:1000] * rows.turned[1000:]).sum(axis=1) / rows.factor[:1000] - (x[:1000] * x[1000:]).sum(axis=1)
     assert abs(error.mean()) < 0.01
     assert (np.abs(error) <= rows.bound[:1000]).mean() > 0.999
+
+
+@pytest.mark.parametrize("dimension", [3, 16, 64])
+def test_codes_open_every_row_that_the_floats_would(spark, dimension):
+    """Codes rounded to bytes leave at least the pairs that unrounded ones do, and few others."""
+    rng = np.random.default_rng(dimension)
+    centres = rng.standard_normal((300, dimension))
+    x = np.concatenate([centres, centres[:60] + 0.1 * rng.standard_normal((60, dimension))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vector array<double>")
+    schema = "dim int, tab int, bucket int, node long, factor float, step float, buckets binary, code binary"
+    made = sorted(rows.coalesce(1).mapInArrow(vectors._code_rows(1, 1), schema).collect(), key=lambda r: r["node"])
+    codes = vectors._Codes([(r["node"], r["factor"], r["step"], r["buckets"], r["code"], 0) for r in made], dimension, np.uint8)
+    units = vectors._unit_rows(x)
+    plain = vectors._Rows([(k, 1, np.zeros(1, np.int32).tobytes(), v.tobytes(), 0) for k, v in enumerate(units)])
+    possible = (plain.code @ plain.turned.T) / plain.factor[:, None] + plain.bound[:, None] >= 0.95
+    i, j = np.nonzero(np.triu(possible, 1))
+    open_first, open_second = vectors._open_rows_of(codes, codes, True, 0, 0.95)
+    assert open_first[i].all() and open_second[j].all()
+    if dimension == 64:
+        assert (open_first | open_second).sum() < 200
+        assert max(len(r["code"]) for r in made) == 72
