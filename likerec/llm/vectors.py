@@ -35,6 +35,8 @@ MISSED = 1e-3
 # Standard deviations, roughly, that the confidence bound of an estimate spans.
 CONFIDENCE = 4.5
 EXACT_AT_ONCE = 50_000
+# What estimates in single precision may lose.
+FLOAT_ERROR = np.float32(1e-4)
 
 
 @lru_cache(maxsize=8)
@@ -121,6 +123,15 @@ def _code_rows(signs: int, tables: int):
     return rows
 
 
+def _bound_share(threshold: float) -> np.float32:
+    """The part of the bound that holds for pairs of at least the threshold.
+
+    The error of an estimate is in proportion to the sine of the two vectors' angle. The estimate of a pair with a
+    cosine c is c less the bound times the sine at least, which grows with c, so the pair at the threshold is the least.
+    """
+    return np.float32(math.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 1.0)
+
+
 class _Codes:
     """The codes (node, factor, step, buckets, code, block) of one block in a cell."""
 
@@ -133,19 +144,24 @@ class _Codes:
         self.turned = packed[:, signs:].view(np.int8).astype(np.float32) * step[:, None]
         self.factor = np.array([row[1] for row in batch], np.float32)
         self.bound = CONFIDENCE * np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, dimension - 1))
-        # What rounding to bytes can do to a product with a code at most, and some for the floats themselves.
-        self.rounding = step * np.float32(math.sqrt(dimension) / 2) + np.float32(1e-4)
+        # What rounding to bytes can do to a product with a code at most.
+        self.rounding = step * np.float32(math.sqrt(dimension) / 2) + FLOAT_ERROR
         self.buckets = np.stack([np.frombuffer(row[3], numbers) for row in batch])
 
 
 def _open_rows_of(a: _Codes, b: _Codes, same: bool, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of ``a`` and of ``b`` are in a pair that first meets in ``table`` and whose bound reaches the threshold."""
+    """Which rows of ``a`` and of ``b`` are in a pair that first meets in ``table`` and whose bounds reach the threshold.
+
+    Either code gives an estimate of the pair, and both bounds have to.
+    """
+    share = _bound_share(threshold)
     open_a, open_b = np.zeros(len(a.code), bool), np.zeros(len(b.code), bool)
     step = max(1, (1 << 22) // max(1, len(b.code)))
     for start in range(0, len(a.code), step):
         rows = slice(start, start + step)
-        reach = (a.code[rows] @ b.turned.T + b.rounding) / a.factor[rows, None] + a.bound[rows, None]
-        possible = reach >= threshold
+        reach = (a.code[rows] @ b.turned.T + b.rounding) / a.factor[rows, None] + share * a.bound[rows, None]
+        back = (a.turned[rows] @ b.code.T + a.rounding[rows, None]) / b.factor + share * b.bound
+        possible = (reach >= threshold) & (back >= threshold)
         if same:
             possible &= np.arange(len(b.code))[None, :] > np.arange(start, start + len(reach))[:, None]
         i, j = np.nonzero(possible)
@@ -219,7 +235,7 @@ def linked_pairs(a: _Rows, b: _Rows, same: bool, table: int, threshold: float) -
     for start in range(0, len(a.node), step):
         rows = slice(start, start + step)
         estimate = (a.code[rows] @ b.turned.T) / a.factor[rows, None]
-        possible = estimate + a.bound[rows, None] >= threshold
+        possible = estimate + _bound_share(threshold) * a.bound[rows, None] + FLOAT_ERROR >= threshold
         if same:
             possible &= np.arange(len(b.node))[None, :] > np.arange(start, start + len(estimate))[:, None]
         i, j = np.nonzero(possible)
@@ -340,11 +356,12 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
 
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     labels = component_labels(links.where("b IS NOT NULL").select("a", "b"))
-    rooted = distinct.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = distinct.select("node", "n", "least").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("_llm_component"))
     known = (
         rooted.join(least, "root").join(counts, "node", "left")
-        .select("vector", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_llm_links"), "_llm_component")
+        .select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_llm_links"), "_llm_component")
+        .join(distinct.select("node", "vector"), "node").drop("node")
     )
     component = F.coalesce("_llm_component", ids)
     return (
