@@ -66,6 +66,12 @@ PRIOR = """SELECT sum({f}) / sum(n) AS p, CASE
       / ((sum({f} * {f} / n) - sum({f}) * sum({f}) / sum(n)) / (sum({f}) / sum(n) * (1 - sum({f}) / sum(n))) - (count(*) - 1)) - 1)) END AS m
   FROM hosts"""
 
+PRIORS = ",\n".join(f"prior{k} AS ({PRIOR.format(f=f'f{k}')})" for k in range(1, 6))
+# Shrunk rates over their limits: four standard deviations of the prior over its mean, within 0.1 and 0.5.
+VERDICT = " OR ".join(
+    f"(f{k} + prior{k}.p * prior{k}.m) / (n + prior{k}.m) > "
+    f"least(0.5, greatest(0.1, prior{k}.p + 4 * sqrt(prior{k}.p * (1 - prior{k}.p) / (prior{k}.m + 1))))" for k in range(1, 6))
+
 OP7 = f"""WITH texts AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 windows AS (
@@ -86,15 +92,16 @@ measured AS (
          coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM texts LEFT JOIN dup d USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
 judged AS (
-  SELECT *, n_words < 10 AS too_short, 100 * n_repeat_words > 20 * n_words AS too_repetitive FROM measured),
+  SELECT *, n_words < 10 AS too_short, 100 * n_repeat_words > 20 * n_words AS too_repetitive, 100 * n_symbols > 10 * word_chars AS symbol_heavy,
+         20 * n_dup_lines > n_words AS repeats_lines, word_chars > 10 * n_words AS long_words FROM measured),
 hosts AS (
   SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE too_short))::DOUBLE AS f1,
-         (count(*) FILTER (WHERE too_repetitive))::DOUBLE AS f2 FROM judged GROUP BY source),
-prior1 AS ({PRIOR.format(f='f1')}),
-prior2 AS ({PRIOR.format(f='f2')}),
+         (count(*) FILTER (WHERE too_repetitive))::DOUBLE AS f2, (count(*) FILTER (WHERE symbol_heavy))::DOUBLE AS f3,
+         (count(*) FILTER (WHERE repeats_lines))::DOUBLE AS f4, (count(*) FILTER (WHERE long_words))::DOUBLE AS f5 FROM judged GROUP BY source),
+{PRIORS},
 verdicts AS (
-  SELECT source, greatest((f1 + a.p * a.m) / (n + a.m), (f2 + b.p * b.m) / (n + b.m)) > 0.5 AS host_failed
-  FROM hosts, prior1 a, prior2 b)
+  SELECT source, {VERDICT} AS host_failed
+  FROM hosts, prior1, prior2, prior3, prior4, prior5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, too_short OR too_repetitive AS base_failed,
        NOT (too_short OR too_repetitive) AND NOT host_failed AS kept
 FROM judged j JOIN verdicts v ON v.source IS NOT DISTINCT FROM j.source"""

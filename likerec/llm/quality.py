@@ -3,11 +3,14 @@
 Each document is held against base rules. Failures are counted by host and rule, and each host's rate is shrunk
 towards the rate of all hosts: the prior is a beta distribution whose mean and weight are fitted to the hosts'
 counts by the method of moments, so a host of few documents is judged mostly by what hosts are like. Hosts whose
-shrunk rate of some rule is too high lose all their documents.
+shrunk rate of some rule is too high lose all their documents. Some rules are for hosts only: a document may break
+them, but a host whose documents often do is bad. What is too high follows from the prior: more than hosts differ.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,15 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = {"too_short": "n_words < {min_words}", "too_repetitive": "100 * n_repeat_words > {max_repeat_percent} * n_words"}
+# Not a reason to drop a document by itself.
+HOST_RULES = {
+    "symbol_heavy": "100 * n_symbols > {max_symbol_percent} * word_chars",
+    "repeats_lines": "{words_per_dup_line} * n_dup_lines > n_words",
+    "long_words": "word_chars > {max_word_chars} * n_words",
+}
+ALL_RULES = [*RULES, *HOST_RULES]
+# A host's limit is so many standard deviations of the prior over its mean, but at least ``LEAST_RATE``.
+DEVIATIONS, LEAST_RATE = 4.0, 0.1
 # The weight of the prior, in documents, stays within these bounds.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 10_000.0
 
@@ -59,15 +71,16 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def base_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """``docs`` with the columns of ``MEASURES``, one boolean per rule, and ``base_failed`` (any of them).
+def base_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, max_symbol_percent: int = 10,
+               words_per_dup_line: int = 20, max_word_chars: int = 10) -> DataFrame:
+    """``docs`` with the columns of ``MEASURES``, one boolean per rule, and ``base_failed`` (any of ``RULES``).
 
     Words are runs without blanks. ``word_chars``: code points in words. ``n_symbols``: characters of ``#*$%&|<>``.
     ``n_dup_lines``: lines with a word that equal an earlier line. ``n_repeat_words``: words in five-word windows
     found at least twice in the text. Null and empty texts have no words and fail. Columns named like an output are
     replaced; an empty table gives an empty result.
     """
-    docs = tidy(docs, ["text"], [*MEASURES, *RULES, "base_failed"])
+    docs = tidy(docs, ["text"], [*MEASURES, *ALL_RULES, "base_failed"])
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [measure(text) for text in text_bytes(batch, "_llm_text")]
@@ -75,28 +88,30 @@ def base_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 2
 
     fields = [T.StructField(name, T.LongType()) for name in MEASURES]
     measured = with_arrow_columns(docs.withColumn("_llm_text", F.col("text").cast("string")), fields, compute, "_llm_text")
-    limits = {"min_words": min_words, "max_repeat_percent": max_repeat_percent}
-    failed = {name: F.expr(rule.format(**limits)) for name, rule in RULES.items()}
+    limits = {"min_words": min_words, "max_repeat_percent": max_repeat_percent, "max_symbol_percent": max_symbol_percent,
+              "words_per_dup_line": words_per_dup_line, "max_word_chars": max_word_chars}
+    failed = {name: F.expr(rule.format(**limits)) for name, rule in (RULES | HOST_RULES).items()}
     return measured.withColumns(failed).withColumn("base_failed", F.expr(" OR ".join(RULES)))
 
 
-def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: ``n_docs``, and for each rule its failures ``f_<rule>`` and shrunk rate ``rate_<rule>``.
+def host_rates(judged: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """One row per host: ``n_docs``, and for each rule its failures ``f_<rule>``, shrunk rate ``rate_<rule>`` and the ``limit_<rule>``.
 
     With N documents of k hosts, f of them failing, p = f / N, Q = sum n_i (p_i - p)^2: the share of variance between
     hosts is (Q / (p (1 - p)) - (k - 1)) / (N - sum n_i^2 / N - (k - 1)), and the weight of the prior its inverse
-    less 1, within bounds. Where p is 0 or 1 or there is one host, the weight is at its upper bound.
+    less 1, within bounds. Where p is 0 or 1 or there is one host, the weight m is at its upper bound. The limit is
+    ``DEVIATIONS`` standard deviations of the prior, sqrt(p (1 - p) / (m + 1)), over p, within ``LEAST_RATE`` and ``max_rate``.
     """
-    counts = [F.sum(F.col(rule).cast("long")).alias(f"f_{rule}") for rule in RULES]
+    counts = [F.sum(F.col(rule).cast("long")).alias(f"f_{rule}") for rule in ALL_RULES]
     hosts = stash(judged.groupBy(host).agg(F.count("*").alias("n_docs"), *counts), "quality-hosts")
     n = F.col("n_docs")
     sums = [F.count("*").alias("k"), F.sum("n_docs").alias("n"), F.sum(n.cast("double") * n).alias("nn")]
-    for rule in RULES:
+    for rule in ALL_RULES:
         f = F.col(f"f_{rule}").cast("double")
         sums += [F.sum(f"f_{rule}").alias(f"f_{rule}"), F.sum(f * f / n).alias(f"ff_{rule}")]
     total = hosts.agg(*sums).first()  # one row of sums
     rates = {}
-    for rule in RULES:
+    for rule in ALL_RULES:
         weight, p = MOST_WEIGHT, 0.0
         if total["n"]:
             p = total[f"f_{rule}"] / total["n"]
@@ -106,18 +121,20 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
                 between = (q / (p * (1 - p)) - (total["k"] - 1)) / spread
                 weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, 1 / between - 1)) if between > 0 else MOST_WEIGHT
         rates[f"rate_{rule}"] = (F.col(f"f_{rule}") + F.lit(p * weight)) / (n + F.lit(weight))
+        usual = p + DEVIATIONS * math.sqrt(p * (1 - p) / (weight + 1))
+        rates[f"limit_{rule}"] = F.lit(min(max_rate, max(LEAST_RATE, usual)))
     return hosts.withColumns(rates)
 
 
 def with_host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """``judged`` (of ``base_rules``) with ``host_failed`` and ``kept``.
 
-    A host fails if the shrunk rate of some rule is over ``max_rate``. Kept are documents that pass the base rules,
-    of hosts that pass. A null host is a host of its own.
+    A host fails if the shrunk rate of some rule is over its limit, ``max_rate`` at most: it breaks the rule more often
+    than hosts differ. Kept are documents that pass the base rules, of hosts that pass. A null host is a host of its own.
     """
-    judged = stash(tidy(judged, [host, *RULES, "base_failed"], ["host_failed", "kept"]), "quality-judged")
-    rates = host_rates(judged, host)
-    failed = F.greatest(*[F.col(f"rate_{rule}") for rule in RULES]) > max_rate
+    judged = stash(tidy(judged, [host, *ALL_RULES, "base_failed"], ["host_failed", "kept"]), "quality-judged")
+    rates = host_rates(judged, host, max_rate)
+    failed = F.greatest(*[F.col(f"rate_{rule}") - F.col(f"limit_{rule}") for rule in ALL_RULES]) > 0
     verdicts = stash(rates.select(F.col(host).alias("_llm_host"), failed.alias("host_failed")), "quality-verdicts")
     return (
         judged.join(broadcast_bounded(verdicts, 256), F.col(host).eqNullSafe(F.col("_llm_host")), "left").drop("_llm_host")

@@ -7,6 +7,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from likerec.llm import quality, toxicity
 from tests.llm import edge
 
@@ -53,6 +55,34 @@ def test_hosts_are_judged_by_shrunk_rates(spark):
     assert rates["tiny"] < 1 and 0.9 < rates["bad"] < 390 / 400
 
 
+@pytest.mark.parametrize("rule, broken", [
+    ("symbol_heavy", "some words with #$%&|<># and a few more of them in a line here"),
+    ("repeats_lines", "one two three\none two three\nfour five six\nseven eight nine ten"),
+    ("long_words", " ".join(f"averylongword{k}" for k in range(20)))])
+def test_hosts_fail_where_they_are_worse_than_hosts_are(spark, rule, broken):
+    """A document may break a rule for hosts; a host that does so in a third of its documents goes, far below the highest rate."""
+    good = " ".join(f"w{k}" for k in range(30))
+    rows = []
+    for host, n, failures in [("bad", 300, 100), ("like others", 300, 12), *[(f"h{k}", 200, 2 + k % 7) for k in range(60)], (None, 3, 3)]:
+        rows += [(len(rows) + k, broken if k < failures else good, host) for k in range(n)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = quality.with_host_verdicts(quality.base_rules(made))
+    assert judged.where("base_failed").count() == 0 and judged.where(rule).count() == sum(r[1] == broken for r in rows)
+    assert [r[0] for r in judged.where("host_failed").select("source").distinct().collect()] == ["bad"]
+    assert judged.where("kept").count() == len(rows) - 300
+    # Plain recomputation of the prior, the rate and the limit.
+    hosts = Counter(r[2] for r in rows), Counter(r[2] for r in rows if r[1] == broken)
+    n, k = len(rows), len(hosts[0])
+    p = sum(hosts[1].values()) / n
+    q = sum(size * (hosts[1][h] / size - p) ** 2 for h, size in hosts[0].items())
+    between = (q / (p * (1 - p)) - (k - 1)) / (n - sum(size**2 for size in hosts[0].values()) / n - (k - 1))
+    m = 1 / between - 1
+    got = {r["source"]: r for r in quality.host_rates(judged).collect()}
+    for host, size in hosts[0].items():
+        assert got[host][f"rate_{rule}"] == pytest.approx((hosts[1][host] + p * m) / (size + m))
+    assert got["bad"][f"limit_{rule}"] == pytest.approx(max(0.1, p + 4 * (p * (1 - p) / (m + 1)) ** 0.5)) and got["bad"][f"limit_{rule}"] < 0.33
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     docs, labels = [], []
