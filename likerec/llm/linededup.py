@@ -2,7 +2,8 @@
 
 Method: a first pass over the documents makes two Bloom filters, of line hashes seen at least once and at least
 twice. A second pass asks the second filter; only lines that may repeat are shuffled, as whole keys, to be
-counted exactly. A false positive of the filter costs a shuffled line, never a wrong result.
+counted exactly. A false positive of the filter costs a shuffled line, never a wrong result. Of confirmed lines,
+all occurrences go, or all but the first one (``keep_first``).
 
 The filters are cut into slices by hash. Tasks send each slice the hashes of its lines, once per Arrow batch, so
 a line that fills a third of all documents sends one number per batch. The size of a filter is 10 bits per line
@@ -132,18 +133,46 @@ def _suspect_rows(filters, slices: int, min_chars: int):
     return rows
 
 
-def drop_shared_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
+def _first_owners(owned: DataFrame, with_ref: DataFrame, id_column: str) -> DataFrame:
+    """(_llm_ref, _llm_own, _llm_least): keys whose first document has the text, and that document's id.
+
+    The first document is the one with the least id, nulls last, then with the least digest of the text.
+    """
+    least = with_ref.groupBy("_llm_ref").agg(F.min(id_column).alias("_llm_least"))
+    place = F.struct(F.col("_llm_least").isNull().alias("without"), "_llm_least", "_llm_ref")
+    first = owned.join(least, "_llm_ref").groupBy("key").agg(F.min(place).alias("first"))
+    return first.groupBy(F.col("first._llm_ref").alias("_llm_ref"), F.col("first._llm_least").alias("_llm_least")).agg(
+        F.collect_list("key").alias("_llm_own"))
+
+
+def _kept_lines(lines: list[bytes], keys: list[bytes], gone: set[bytes], own: set[bytes]) -> list[bytes]:
+    """Lines whose key is not in ``gone``, and of a key in ``own`` the first one."""
+    own, kept = set(own), []
+    for line, key in zip(lines, keys):
+        if key in own:
+            own.remove(key)
+            kept.append(line)
+        elif key not in gone:
+            kept.append(line)
+    return kept
+
+
+def drop_shared_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False,
+                      id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``text`` cut to the lines kept, and ``n_lines`` (before), ``n_dropped``.
 
     A line's key is the line without blanks at its ends, in lower case (A-Z only). Keys of at least ``min_chars``
-    code points that are found in at least ``min_documents`` rows lose all their lines in every document.
+    code points that are found in at least ``min_documents`` rows lose all their lines in every document. With
+    ``keep_first`` the first line of such a key stays in the document with the least id. Null ids come last, and the text's
+    digest decides between equal ids; repeated rows, equal in id and text, are one document and keep the line alike.
 
     Null and empty texts count one empty line, which stays; the kept text is then empty, not null. Each row counts
     as a document, repeated rows and rows with equal or null ids too. Other columns pass unchanged, except those
     named like an output. An empty table gives an empty result.
     """
     outputs = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    docs = tidy(docs, ["text"], [f.name for f in outputs]).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    needed = ["text", id_column] if keep_first else ["text"]
+    docs = tidy(docs, needed, [f.name for f in outputs]).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     spark = docs.sparkSession
     texts = docs.select("text")
     lines = texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
@@ -164,21 +193,26 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
         with_ref.select("_llm_ref", "text").mapInArrow(_suspect_rows(shared, slices, min_chars), "_llm_ref string, key binary"),
         "line-suspects")
     frequent = suspects.groupBy("key").count().where(F.col("count") >= min_documents).select("key")
-    dropped = (
-        suspects.distinct().join(frequent, "key").groupBy("_llm_ref").agg(F.collect_list("key").alias("_llm_keys"))
-    )
+    owned = suspects.distinct().join(frequent, "key")
+    if keep_first:
+        owned = stash(owned, "line-owners")
+    dropped = owned.groupBy("_llm_ref").agg(F.collect_list("key").alias("_llm_keys"))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         kept, n_lines, n_dropped = [], [], []
-        for text, gone in zip(text_bytes(batch), batch.column("_llm_keys")):
+        own_keys = batch.column("_llm_own") if keep_first else pa.nulls(batch.num_rows)
+        for text, gone, own in zip(text_bytes(batch), batch.column("_llm_keys"), own_keys):
             lines, keys = line_keys(text, min_chars)
             gone = set(gone.as_py() or ())
-            stay = [line for line, key in zip(lines, keys) if key not in gone] if gone else lines
+            stay = _kept_lines(lines, keys, gone, set(own.as_py() or ())) if gone else lines
             kept.append(b"\n".join(stay))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
         return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
 
     joined = with_ref.join(dropped, "_llm_ref", "left")
-    result = with_arrow_columns(joined, [T.StructField("text", T.StringType()), *outputs], cut, "_llm_ref", "_llm_keys")
+    if keep_first:
+        own = F.when(F.col(id_column).eqNullSafe(F.col("_llm_least")), F.col("_llm_own"))
+        joined = joined.join(_first_owners(owned, with_ref, id_column), ["_llm_ref"], "left").withColumn("_llm_own", own).drop("_llm_least")
+    result = with_arrow_columns(joined, [T.StructField("text", T.StringType()), *outputs], cut, "_llm_ref", "_llm_keys", "_llm_own")
     return result.select(*[f"`{c}`" for c in docs.columns], *[f.name for f in outputs])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -139,6 +140,44 @@ def test_line_dedup_like_brute_force(spark, least):
     assert linededup.drop_shared_lines(edge.empty(spark)).count() == 0
 
 
+def plain_first_lines(rows, least):
+    """(doc_id, lines, dropped, text) where the first line of each shared key stays in the first document."""
+    def keys_of(text):
+        return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r")) for line in (text or "").split("\n")]
+
+    found = Counter(key for r in rows for key in set(keys_of(r[1])) if key)
+    def place(r):
+        return r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()
+
+    first = {}
+    for r in rows:
+        for key in set(keys_of(r[1])):
+            first[key] = min(first.get(key, place(r)), place(r))
+    out = []
+    for r in rows:
+        stay, seen = [], set()
+        lines = (r[1] or "").split("\n")
+        for line, key in zip(lines, keys_of(r[1])):
+            if found[key] < least or (first[key] == place(r) and key not in seen):
+                stay.append(line)
+            seen.add(key)
+        out.append((r[0], len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 10])
+def test_the_first_occurrence_of_a_line_stays(spark, least):
+    extra = [(k, "shared\nown %d\n shared\t" % (k % 4), "en", "s", 1, *edge.CLASHING) for k in (500, 400, 400, 300, 300, 300, 600, 700, 800, 900, 950)]
+    rows = edge.rows(2) + extra
+    docs = spark.createDataFrame(rows, edge.SCHEMA.replace("`TEXT`", "other")).withColumnRenamed("other", "TEXT").repartition(3)
+    got = linededup.drop_shared_lines(docs, min_documents=least, keep_first=True)
+    expected = plain_first_lines(rows, least)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "text").collect()) == Counter(expected)
+    assert sum("shared" in r[3].split("\n") for r in expected) == 3  # the repeated rows of the least id
+    assert got.columns == linededup.drop_shared_lines(docs, min_documents=least).columns
+    assert linededup.drop_shared_lines(edge.empty(spark), keep_first=True).count() == 0
+
+
 def plain_repeats(rows, width):
     texts = [(r[1] or "").encode() for r in rows]
     found = Counter(t[k:k + width] for t in texts for k in range(len(t) - width + 1))
