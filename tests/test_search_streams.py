@@ -2,6 +2,8 @@ import datetime
 import json
 import os
 
+import pytest
+
 from likerec.plans import serving
 from likerec.streaming.searches import read_reusable_searches, stream_reusable_searches
 from tests.conftest import rows
@@ -42,20 +44,21 @@ def looked_up(number):
     return [{"query": q, "ts": at(h).isoformat(), "hit": hit} for q, h, hit in FOUND[number]]
 
 
-def run(spark, folder, sources):
+def run(spark, folder, sources, spread=8):
     sides = [spark.readStream.schema(s).option("maxFilesPerTrigger", 1).json(str(f)) for s, f in zip((SEARCHES, LOOKUPS), sources)]
-    query = stream_reusable_searches(*sides, f"{folder}/answers", f"{folder}/progress", available_now=True)
+    query = stream_reusable_searches(*sides, f"{folder}/answers", f"{folder}/progress", available_now=True, spread=spread)
     query.awaitTermination(240)
     assert not query.isActive and query.exception() is None
 
 
-def test_two_streams_with_a_restart_equal_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("spread", [1, 8])
+def test_two_streams_with_a_restart_equal_the_batch(spark, tmp_path, spread):
     sources = tmp_path / "searches", tmp_path / "lookups"
     for first, last in ((0, 2), (2, 4)):
         for number in range(first, last):
             put(sources[0], number, searched(number))
             put(sources[1], number, looked_up(number))
-        run(spark, tmp_path, sources)
+        run(spark, tmp_path, sources, spread)
     everything = [[r for part in parts for r in part] for parts in (ASKED, FOUND)]
     whole = serving.reusable_searches(
         spark.createDataFrame([(r, p, at(h), q) for r, p, h, q in everything[0]], SEARCHES),
