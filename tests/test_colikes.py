@@ -129,3 +129,24 @@ def test_refreshed_pairs_and_lists_equal_those_of_one_run(spark, min_common):
         assert rows(tops, *columns) == sorted(brute_top(held, min_common, 5), key=repr)
         assert [r for r in before if r[0] not in who] == [r for r in rows(tops, *columns) if r[0] not in who]
         assert len(who) < 60 and (batch or not who)
+
+
+def test_pairs_are_counted_where_their_lists_arrive(spark):
+    likes = materialize(frame(spark, [(u, s) for u in range(6) for s in range(4)]))
+    plan = colikes.similar_users(likes)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(u#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(u#" in line and ", v#" in line]
+
+
+@pytest.mark.parametrize("block_fans", [10**9, 3, 1])
+def test_repeated_likes_count_each_time(spark, block_fans):
+    likes = frame(spark, [(1, 1), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 1), (3, 2)])
+    found = colikes.similar_users(likes, min_common=1, block_fans=block_fans)
+    counted = [(1, 2, 3), (1, 3, 5), (2, 3, 3)]
+    assert rows(found, "user_id", "similar_user_id", "n_common") == sorted(counted + [(v, u, n) for u, v, n in counted])
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    stored = materialize(spark.range(3_000_000).select((F.col("id") % 1_000_003).alias("id")))
+    plan = stored.join(stored.withColumn("more", F.lit(1)), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
