@@ -10,6 +10,7 @@ import pytest
 
 from likerec.functions.text import default_stop_words
 from likerec.plans import boundedtopk, content
+from likerec.session import materialize
 from tests.conftest import LIKES, SONGS, rows
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -180,3 +181,16 @@ def test_most_cells_of_a_large_vocabulary_are_never_made(spark):
     _, cells = content.bounded_content_scores(profiles, candidates, rows_.select("user_id", "song_id"), 5)
     assert content.content_scores(profiles, candidates).count() == 25 * 400
     assert cells.count() < 0.2 * 25 * 400
+
+
+def test_scores_stay_in_the_tasks_of_their_users(spark):
+    from likerec.operators.profiles import cosine_scores, user_profiles
+    vectors = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "b", 1.0), (3, "c", 1.0)], "doc_id long, term string, weight double")
+    history = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 9), (None, 1)], "user_id long, song_id long")
+    profiles = user_profiles(history, materialize(vectors))
+    assert rows(profiles.selectExpr("user_id", "term", "round(weight, 9) w"), "user_id", "term", "w") == [
+        (1, "a", 0.3), (1, "b", 0.9), (2, "b", 0.5)]
+    scores = cosine_scores(profiles, vectors)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(user_id" in line and (", term" in line or ", song_id" in line)]
+    assert {(u, s) for u, s, _ in rows(scores, "user_id", "song_id", "score")} == {(1, 1), (1, 2), (2, 1), (2, 2)}
