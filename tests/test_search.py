@@ -69,3 +69,18 @@ def test_empty_sides(spark):
     asked, known = spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(forms, FORMS)
     assert search.closest_forms(asked.limit(0), known).count() == 0
     assert search.closest_forms(asked, known.limit(0)).count() == 0
+
+
+def test_queries_with_a_very_similar_name_are_not_asked_for_less_similar_ones(spark, monkeypatch):
+    forms = [("yellow submarine - beatles", 1, 1), ("yellow submarine - beetles", 1, 2), ("blue train", 1, 3)]
+    queries = ["yelow submarine - beatles", "blu train", "blue trane song"]
+    asked, plain = [], search._best_forms
+
+    def noted(rows, *rest):
+        asked.append({r["query"] for r in rows.collect()})
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(search, "_best_forms", noted)
+    got = search.closest_forms(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(forms, FORMS), 0.51)
+    assert {r["query"]: (r["id"], r["score"]) for r in got.collect()} == brute(queries, forms, 0.51)
+    assert asked[0] == set(queries) and queries[0] not in asked[-1] and len(asked) == len(search.FIRST_SIMILARITIES) + 1
