@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from likerec.operators import colikes
-from likerec.session import materialize
+from likerec.session import BROADCAST_LIMIT_BYTES, RUNTIME_SETTINGS, broadcast_stored, materialize
 from tests.conftest import LIKES, SONGS, rows
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -150,3 +150,34 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     stored = materialize(spark.range(3_000_000).select((F.col("id") % 1_000_003).alias("id")))
     plan = stored.join(stored.withColumn("more", F.lit(1)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_broadcasts_count_rows_and_not_files(spark):
+    few = materialize(spark.createDataFrame([(1, "a", None), (2, None, 0.5)], "id long, name string, x double"))
+    assert "ResolvedHint" in broadcast_stored(few)._jdf.queryExecution().analyzed().toString()
+    # One name over and over takes next to nothing in a file.
+    many = materialize(spark.range(3000).select(F.repeat(F.lit("name"), F.lit(BROADCAST_LIMIT_BYTES // 8000)).alias("name")))
+    assert "ResolvedHint" not in broadcast_stored(many)._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(ValueError, match="numbers and texts"):
+        broadcast_stored(spark.range(1).select(F.array("id").alias("ids")))
+
+
+def test_a_stored_table_of_names_is_shuffled_though_its_file_is_small(spark):
+    names = materialize(spark.range(0, 100_000, 1, 1).select(F.col("id"), F.format_string("Customer#%09d", "id").alias("name")))
+    def plan():
+        return names.alias("a").join(names.alias("b"), F.col("a.name") == F.col("b.name"))._jdf.queryExecution().executedPlan().toString()
+
+    assert "Broadcast" not in plan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1024 * 1024))
+    try:
+        assert "Broadcast" in plan()  # so the file is that small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", RUNTIME_SETTINGS["spark.sql.autoBroadcastJoinThreshold"])
+
+
+def test_tasks_count_a_bounded_number_of_pairs(spark, monkeypatch):
+    widths, plain = [], colikes.shuffle_width
+    monkeypatch.setattr(colikes, "shuffle_width", lambda s, n, per_task: widths.append(per_task) or plain(s, n, per_task))
+    likes = spark.createDataFrame([(u, s, None) for u in range(6) for s in range(4)], LIKES)
+    assert colikes.similar_users(likes).count() == 30
+    assert widths and max(widths) <= 1_000_000
