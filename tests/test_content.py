@@ -194,3 +194,29 @@ def test_scores_stay_in_the_tasks_of_their_users(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "hashpartitioning(user_id" in line and (", term" in line or ", song_id" in line)]
     assert {(u, s) for u, s, _ in rows(scores, "user_id", "song_id", "score")} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_only_the_best_cells_of_a_user_leave_the_task(spark):
+    """Ties at the last place go to the smaller id; liked songs and songs without a common word are left out."""
+    generator = random.Random(16)
+    songs = [song(i, f"live {generator.choice(['red', 'blue', 'night'])}", f"band{i % 3}") for i in range(60)] + [song(60, "alone", "Solo")]
+    rows_ = spark.createDataFrame(sorted({(u, generator.randrange(60), NOW) for u in range(8) for _ in range(5)}), LIKES)
+    table = spark.createDataFrame(songs, SONGS)
+    candidates = content.prepare_candidates(table, None, "as_coded", None)
+    profiles = materialize(content.weighted_profiles(rows_, content.song_vectors(table, candidates, "as_coded", None), candidates))
+    cells = defaultdict(list)
+    for r in content.content_scores(profiles, candidates).collect():
+        if not r.liked and r.score > 0:
+            cells[r.user_id].append((-math.floor(r.score / 1e-9 + 0.5), r.song_id))
+    expected = sorted((user, song_id) for user, own in cells.items() for _, song_id in sorted(own)[:7])
+    assert rows(content.content_scores(profiles, candidates, 7), "user_id", "song_id") == sorted(expected, key=repr)
+    assert len(expected) == 8 * 7
+
+
+@pytest.mark.parametrize("corpus", ["per_user", "shared"])
+def test_array_scores_give_the_rows_of_the_join(spark, monkeypatch, corpus):
+    songs, generator = random_songs(17), random.Random(18)
+    likes = {(u, generator.randrange(42)) for u in range(9) for _ in range(generator.randint(1, 12))}
+    packed = found(spark, songs, likes, pool=30, k=6, corpus=corpus)
+    monkeypatch.setattr(content, "fits_broadcast", lambda df: False)
+    assert packed and packed == found(spark, songs, likes, pool=30, k=6, corpus=corpus)
