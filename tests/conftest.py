@@ -25,6 +25,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def runtime_settings(request):
+    """Each test starts with the settings that every job relies on, whatever an earlier one has left."""
+    if "spark" in request.fixturenames:
+        from likerec.session import tune
+
+        tune(request.getfixturevalue("spark"))
+
+
 LIKES = "user_id long, song_id long, created_at timestamp_ntz"
 SONGS = ("id long, video_id string, title string, artist string, genre string, tags string, "
          "updated_at timestamp_ntz")
