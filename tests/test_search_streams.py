@@ -80,3 +80,22 @@ def test_no_rows_at_all(spark, tmp_path):
         source.mkdir()
     run(spark, tmp_path, sources)
     assert read_reusable_searches(spark, f"{tmp_path}/answers").count() == 0
+
+
+def test_a_query_that_fills_both_streams_makes_no_pairs(spark, tmp_path):
+    """30,000 searches for one name, each with a lookup of its own: 450 million pairs would not end in time. A search without a
+    position and a lookup without an outcome are among them."""
+    n = 30_000
+    sources = tmp_path / "searches", tmp_path / "lookups"
+    moments = spark.range(n).selectExpr("id request_id", "0 position", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) ts", "'hot' query")
+    moments.selectExpr("request_id", "nullif(position, int(request_id % 1000)) position", "ts", "query").write.json(str(sources[0]))
+    moments.selectExpr("query", "ts", "CASE WHEN request_id % 7 > 0 THEN request_id % 2 = 0 END hit").write.json(str(sources[1]))
+    sides = [spark.readStream.schema(s).json(str(f)) for s, f in zip((SEARCHES, LOOKUPS), sources)]
+    query = stream_reusable_searches(*sides, f"{tmp_path}/answers", f"{tmp_path}/progress", available_now=True)
+    query.awaitTermination(60)
+    ended = not query.isActive
+    query.stop()
+    assert ended and query.exception() is None
+    tables = [spark.read.schema(s).json(str(f)) for s, f in zip((SEARCHES, LOOKUPS), sources)]
+    got, whole = read_reusable_searches(spark, f"{tmp_path}/answers"), serving.reusable_searches(*tables)
+    assert got.count() == n and got.exceptAll(whole.select(*got.columns)).isEmpty()
