@@ -220,3 +220,21 @@ def test_array_scores_give_the_rows_of_the_join(spark, monkeypatch, corpus):
     packed = found(spark, songs, likes, pool=30, k=6, corpus=corpus)
     monkeypatch.setattr(content, "fits_broadcast", lambda df: False)
     assert packed and packed == found(spark, songs, likes, pool=30, k=6, corpus=corpus)
+
+
+@pytest.mark.parametrize("slab, matrix", [(10**6, 10**6), (10**6, 0), (60, 10**6), (60, 0)])
+def test_bounded_cells_are_no_rows(spark, monkeypatch, slab, matrix):
+    """Few words name all songs, so bounds leave nearly all cells; only the best of a user and slab become rows."""
+    monkeypatch.setattr(boundedtopk, "SLAB_POSTINGS", slab)
+    monkeypatch.setattr(boundedtopk, "MATRIX_NUMBERS", matrix)
+    songs = random_songs(21, 60)
+    generator = random.Random(22)
+    likes = {(u, generator.randrange(60)) for u in range(10) for _ in range(generator.randint(1, 9))}
+    assert found(spark, songs, likes, pool=None, k=3, bounded=True) == brute(songs, likes, 3, 60, "as_coded")
+    rows_, table = spark.createDataFrame([(u, s, NOW) for u, s in sorted(likes)], LIKES), spark.createDataFrame(songs, SONGS)
+    candidates = content.prepare_candidates(table, None, "as_coded", None)
+    profiles = content.weighted_profiles(rows_, content.song_vectors(table, candidates, "as_coded", None), candidates)
+    scores, cells = content.bounded_content_scores(profiles, candidates, rows_.select("user_id", "song_id"), 3)
+    slabs = -(-candidates.postings.where("tf > 0").count() // slab)
+    assert scores.count() <= 10 * 3 * slabs and cells.count() > 10 * 3 * 2
+    assert scores.select("user_id", "song_id").exceptAll(cells).isEmpty()
