@@ -238,3 +238,21 @@ def test_bounded_cells_are_no_rows(spark, monkeypatch, slab, matrix):
     slabs = -(-candidates.postings.where("tf > 0").count() // slab)
     assert scores.count() <= 10 * 3 * slabs and cells.count() > 10 * 3 * 2
     assert scores.select("user_id", "song_id").exceptAll(cells).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_long_histories_are_shuffled_packed(spark, monkeypatch, chunk):
+    """In chunks of two songs and in whole ones; no shuffle by user and term holds a row for each song's term."""
+    monkeypatch.setattr(content, "HISTORY_CHUNK", chunk)
+    songs = random_songs(31)
+    generator = random.Random(32)
+    likes = {(u, generator.randrange(40)) for u in range(9) for _ in range(generator.randint(1, 12))}
+    assert found(spark, songs, likes, pool=25, k=6, heavy_history=2) == brute(songs, likes, 6, 25, "as_coded")
+    rows_, table = spark.createDataFrame([(u, s, NOW) for u, s in sorted(likes)], LIKES), spark.createDataFrame(songs, SONGS)
+    candidates = content.prepare_candidates(table, 25, "as_coded", None)
+    vectors = materialize(content.song_vectors(table, candidates, "as_coded", None))
+    plain, heavy = (content.weighted_profiles(rows_, vectors, candidates, h) for h in (10**6, 0))
+    columns = ["user_id", "h", "term", "df", "dfh", "round(weight, 9) weight", "round(norm2, 9) norm2"]
+    assert rows(plain.selectExpr(*columns), "*") == rows(heavy.selectExpr(*columns), "*")
+    plan = heavy._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and not [line for line in plan.splitlines() if "hashpartitioning(user_id" in line and ", song_id" in line]
